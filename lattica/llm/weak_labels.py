@@ -286,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text:
     tables = {}
     for task in TASKS:
         got = votes.groupBy(task).count().collect()  # at most 3 ** 7 rows
-        patterns = np.array([["01-".index(c) if c != "-" else -1 for c in r[0]] for r in got]).reshape(len(got), -1)
+        patterns = np.array([["01-".index(c) if c != "-" else -1 for c in r[0]] for r in got])
         models[task] = LabelModel(patterns, np.array([r[1] for r in got], float), trusted=patterns.shape[1] - 1) if got else None
         tables[task] = dict(zip((r[0] for r in got), models[task].posterior(patterns))) if got else {}
     chosen = _sampled(votes, n, sample)
