@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from ..functions import collections, datetime, geometry, maths, network, ranges, strings, text_search
+from ..operators import aggregates, joins, predicates, scans, sorts_sets, windows
+from ..streaming import windows as streaming
+
+MODULES = (scans, predicates, joins, aggregates, windows, sorts_sets, strings, datetime, maths, collections, ranges, geometry, network, text_search, streaming)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.R.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.R.oracles.items()}
