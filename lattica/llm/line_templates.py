@@ -233,10 +233,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **l
             yield pa.RecordBatch.from_arrays([pa.array(of, batch.schema.field(0).type), pa.array(lines, pa.int64())], ["of", "line"])
 
     in_docs = docs.select(doc_id, text).mapInArrow(hashes, T.StructType([T.StructField("of", id_type), T.StructField("line", T.LongType())]))
-    hit = in_docs.join(found.select("line", "first"), "line").where(~F.col("of").eqNullSafe(F.col("first")))
+    # both joins are merges at every size: neither side has a bound
+    hit = in_docs.join(found.select("line", "first").hint("merge"), "line").where(~F.col("of").eqNullSafe(F.col("first")))
     drops = materialize(hit.groupBy("of").agg(F.collect_set("line").alias("_drop")))
     names = docs.columns
-    marked = docs.join(drops, docs[doc_id].eqNullSafe(drops["of"]), "left").select(*(docs[c] for c in names), "_drop")
+    marked = docs.join(drops.hint("merge"), docs[doc_id].eqNullSafe(drops["of"]), "left").select(*(docs[c] for c in names), "_drop")
     at, at_drop = names.index(text), len(names)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
