@@ -14,7 +14,7 @@ records are scattered anew by id and place of reading.
 
 Defined cases: null texts have no bytes (size 8, CRC 0); null and repeated ids
 are placed like any other record; an empty table gives no rows; other columns
-travel along.
+travel along, but for such as are named like the operator's own.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 SHARDS = 24
 SEED = 42
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 OVERHEAD = 8
 
 
@@ -54,9 +54,7 @@ def external_shuffle(
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """All rows and columns of ``docs``, with shard (0 to n_shards - 1) and slot."""
-    clash = {"shard", "slot"} & set(docs.columns)
-    if clash:
-        docs = docs.drop(*clash)
+    docs = docs.drop("shard", "slot", "_bucket")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
     total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(total / bucket_bytes))
@@ -75,25 +73,22 @@ def external_shuffle(
     starts = sizes.withColumn("_block", block).join(before, "_block").select(
         "_bucket", (F.col("_start") + F.coalesce(inside, F.lit(0))).alias("_first")
     )
-    columns = docs.columns
-    at_id, at_text = columns.index(doc_id), columns.index(text)
+    at_id, at_text = docs.columns.index(doc_id), docs.columns.index(text)
 
-    def second(table: pa.Table) -> pa.Table:
-        bucket = table.column("_bucket")[0].as_py()
+    def second(table: pa.Table, start: pa.Table) -> pa.Table:
+        bucket, first = (start.column(c)[0].as_py() for c in ("_bucket", "_first"))
         texts = table.column(at_text)
         crc = pa.array([zlib.crc32((t.as_py() or "").encode()) for t in texts], pa.int64())
         keys = pa.table({"id": table.column(at_id), "crc": crc, "null": texts.is_null(), "at": pa.array(range(table.num_rows))})
         fixed = keys.sort_by([("id", "ascending"), ("crc", "ascending"), ("null", "ascending")]).column("at").to_numpy()
         order = fixed[fisher_yates(table.num_rows, [seed, bucket])]
-        out = table.take(pa.array(order))
-        return out.append_column("_place", pa.array(np.arange(table.num_rows)))
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_bucket", T.IntegerType()), T.StructField("_place", T.LongType())])
-    mixed = docs.withColumn("_bucket", scatter(key)).groupBy("_bucket").applyInArrow(second, schema)
-    place = F.col("_first") + F.col("_place")
-    return mixed.join(starts, "_bucket").select(
-        *columns, (place % n_shards).cast("int").alias("shard"), F.floor(place / n_shards).cast("long").alias("slot")
-    )
+        place = first + np.arange(table.num_rows)
+        out = table.take(pa.array(order)).drop_columns(["_bucket"])
+        return out.append_column("shard", pa.array(place % n_shards, pa.int32())).append_column("slot", pa.array(place // n_shards))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    met = docs.withColumn("_bucket", scatter(key)).groupBy("_bucket").cogroup(starts.groupBy("_bucket"))
+    return met.applyInArrow(second, schema)
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
