@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 
 
@@ -15,6 +17,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
+        ship(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
