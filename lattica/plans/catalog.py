@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ..functions import collections, datetime, geometry, maths, network, ranges, strings, text_search
+from ..functions import collections, datetime, geometry, maths, more, network, ranges, strings, text_search
 from ..operators import aggregates, joins, predicates, scans, sorts_sets, user_defined, windows
 from ..streaming import windows as streaming
 
-MODULES = (scans, predicates, joins, aggregates, windows, sorts_sets, user_defined, strings, datetime, maths, collections, ranges, geometry, network, text_search, streaming)
+MODULES = (scans, predicates, joins, aggregates, windows, sorts_sets, user_defined, strings, datetime, maths, collections, more, ranges, geometry, network, text_search, streaming)
 
 
 def queries() -> dict:
