@@ -6,7 +6,7 @@ at all (-1).  The votes of the whole corpus are counted by pattern (a small
 table: at most 3 to the number of labellers), and expectation-maximisation over
 the patterns estimates each labeller's accuracy and the share of bad documents.
 The posterior of a document's pattern is its label; a linear scorer over hashed
-features (words, their beginnings and their shapes) is trained on a sample of at
+features (measures for quality, words and their beginnings for toxicity) is trained on a sample of at
 most ``sample`` documents, weighted so that both classes count alike, and
 scores every document as a whole.
 
@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 TASKS = ("low_quality", "toxic")
-#: Documents read to mine words and to train, at most, and words taken of each.
-SAMPLE = 6000
+#: Documents read to mine words, and to train, at most.
+SAMPLE = 3000
 BITS = 18
 SEED = 42
 THRESHOLD = 0.5
+PRIOR = 0.3
 MEMO = 1 << 18
-_WORD = re.compile(r"\S+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that serve as features.
 STARTS = (4, 6)
@@ -53,121 +53,128 @@ STARTS = (4, 6)
 # --- features -----------------------------------------------------------------
 
 
-def shape(word: str) -> str:
-    """Classes of characters, runs shortened: Aa for Word, a!! for word!!"""
-    out: list[str] = []
-    for c in word:
-        k = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
-        if not (k in "Aa0" and out and out[-1] == k):
-            out.append(k)
-    return "".join(out[:6])
+def starts_of(letters: str) -> list[str]:
+    return [letters[:n] for n in STARTS if len(letters) > n]
 
 
-def features(word: str) -> list[str]:
-    """Names of a word's features: shape, and of its letters whole and beginnings."""
-    found = [f"s:{shape(word)}"]
+def word_features(word: str) -> list[str]:
+    """The letters of a word, whole and their beginnings."""
+    found = []
     for letters in _LETTERS.findall(word.lower()):
-        found.append(f"w:{letters}")
-        found.extend(f"{n}:{letters[:n]}" for n in STARTS if len(letters) > n)
+        found.append("w:" + letters)
+        found.extend(f"{len(x)}:{x}" for x in starts_of(letters))
     return found
 
 
+class Measures:
+    """What a text looks like: counts that labellers and features share."""
+
+    def __init__(self, text: str) -> None:
+        self.words = text.split()
+        self.counted = Counter(self.words)
+        raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
+        n = max(1, len(self.words))
+        up, low = int(raw[65:91].sum()), int(raw[97:123].sum())
+        symbols = raw[35:39].sum() + raw[42] + raw[60:63].sum() + raw[64] + raw[92] + raw[94:96].sum() + raw[126]
+        self.symbols, self.exclaims, self.bars = float(symbols) / n, float(raw[33]) / n, float(raw[124]) / n
+        self.capitals = up / max(1, up + low)
+        self.repeats = 1 - len(self.counted) / n
+        self.size = n if self.words else 0
+
+    def features(self) -> list[str]:
+        """Each measure in steps, and the size by powers of two."""
+        steps = lambda x: str(int(min(x, 1.0) * 20))
+        found = [f"{k}={steps(getattr(self, k))}" for k in ("symbols", "exclaims", "bars", "capitals", "repeats")]
+        found.append(f"size={min(8, int(math.log2(self.size + 1)))}")
+        return found
+
+
 def bucket(name: str, bits: int) -> int:
     return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), SEED) & ((1 << bits) - 1)
 
 
 class Scorer:
-    """Sum of a document's distinct words' weights (toxic) or their mean (quality), by task."""
+    """Hashed linear scorer: quality sums a text's measures, toxicity its distinct words."""
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray, bits: int) -> None:
         self.weights, self.bias, self.bits = weights, bias, bits
-        self.memo: dict[str, tuple[float, float]] = {}
+        self.mask = (1 << bits) - 1
+        #: most buckets weigh nothing
+        self.toxic = {int(i): float(weights[1, i]) for i in np.flatnonzero(weights[1])}
+        self.memo: dict[str, float] = {}
 
-    def word(self, word: str) -> tuple[float, float]:
+    def word(self, word: str) -> float:
         got = self.memo.get(word)
         if got is None:
-            at = [bucket(x, self.bits) for x in features(word)]
-            got = tuple(self.weights[:, at].sum(axis=1).tolist())
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
+            hashed, mask, weigh = xxhash.xxh32_intdigest, self.mask, self.toxic.get
+            got = sum(weigh(hashed(x.encode("utf-8", "surrogatepass"), SEED) & mask, 0.0) for x in word_features(word))
             if len(word) <= 64:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
                 self.memo[word] = got
         return got
 
     def probabilities(self, text: str | None) -> tuple[float, float]:
-        words = _WORD.findall(text or "")
-        if not words:
-            return 1.0, 0.0
-        each = [self.word(w) for w in words]
-        quality = sum(x[0] for x in each) / len(each)
-        # a few words make a text toxic, wherever they stand
-        distinct = {w: x[1] for w, x in zip(words, each)}
-        toxic = sum(distinct.values()) / math.sqrt(len(distinct))
+        m = Measures(text or "")
+        quality = float(self.weights[0, [bucket(x, self.bits) for x in m.features()]].sum())
+        toxic = sum(map(self.word, m.counted))
         return tuple(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in (quality + self.bias[0], toxic + self.bias[1]))
 
 
-def _rows(text: str, bits: int) -> tuple[dict[int, float], dict[int, float]]:
-    """Features of both tasks, as Scorer sums them."""
-    words = _WORD.findall(text)
-    counted = Counter(words)
-    quality: dict[int, float] = {}
-    toxic: dict[int, float] = {}
-    for w, n in counted.items():
-        for x in features(w):
-            b = bucket(x, bits)
-            quality[b] = quality.get(b, 0.0) + n / len(words)
-            toxic[b] = toxic.get(b, 0.0) + 1 / math.sqrt(len(counted))
-    return quality, toxic
-
-
-def fit_linear(rows: list[dict[int, float]], target: np.ndarray, bits: int, rounds: int = 60, step: float = 0.5) -> tuple[np.ndarray, float]:
-    """Logistic regression by adaptive gradient steps over hashed rows; target: the posterior of being bad."""
-    weights, bias = np.zeros(1 << bits), 0.0
-    if not len(rows) or target.max() < 0.5 or target.min() > 0.5:
-        return weights, -10.0 if not len(rows) or target.max() < 0.5 else 10.0
-    lens = np.array([len(r) for r in rows])
-    at = np.fromiter((k for r in rows for k in r), np.int64, lens.sum())
-    value = np.fromiter((v for r in rows for v in r.values()), float, lens.sum())
-    row = np.repeat(np.arange(len(rows)), lens)
-    bad = target >= 0.5
-    share = np.where(bad, 0.5 / max(1, bad.sum()), 0.5 / max(1, (~bad).sum()))
-    seen, seen_bias = np.full(1 << bits, 1e-8), 1e-8
-    used = np.unique(at)
+def _rows(text: str, bits: int) -> tuple[list[int], list[int]]:
+    """The distinct buckets of a text for either task."""
+    m = Measures(text)
+    quality = {bucket(x, bits) for x in m.features()}
+    return list(quality), list({bucket(x, bits) for w in m.counted for x in word_features(w)})
+
+
+def fit_linear(row: np.ndarray, at: np.ndarray, target: np.ndarray, bits: int, least: int = 3, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Logistic regression by gradient steps over a sparse 0/1 matrix (row, bucket); both classes weigh alike.
+
+    Columns are scaled by their smoothed log ratio between the classes, so that
+    telling buckets learn first; those of fewer than ``least`` documents, or
+    all but equally frequent in both classes, keep weight zero.
+    target: the posterior of being bad.
+    """
+    weights = np.zeros(1 << bits, np.float32)
+    if not len(target) or target.max() < 0.5 or target.min() > 0.5:
+        return weights, 10.0 if len(target) and target.min() > 0.5 else -10.0
+    share = target.mean()
+    n_bad = np.bincount(at, target[row], 1 << bits)
+    n_good = np.bincount(at, minlength=1 << bits) - n_bad
+    ratio = np.log((n_bad + 2 * share) / (n_good + 2 * (1 - share)) * (1 - share) / share)
+    use = np.flatnonzero((n_bad + n_good >= least) & (np.abs(ratio) > 0.5))
+    place = np.full(1 << bits, -1, np.int32)
+    place[use] = np.arange(len(use), dtype=np.int32)
+    col = place[at]
+    row, col = row[col >= 0], col[col >= 0]
+    value = ratio[use][col]
+    each = np.where(target >= 0.5, 0.5 / max(1, (target >= 0.5).sum()), 0.5 / max(1, (target < 0.5).sum()))
+    # a step that a Hessian of this norm allows
+    norm = np.bincount(row, value**2, len(target))
+    step = 4.0 / (1.0 + (norm * each).sum())
+    w, moved = np.zeros(len(use) + 1), np.zeros(len(use) + 1)
     for _ in range(rounds):
-        score = np.bincount(row, value * weights[at], len(rows)) + bias
-        off = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target) * share
-        grad = np.bincount(at, value * off[row], 1 << bits) + 1e-7 * weights
-        seen[used] += grad[used] ** 2
-        weights[used] -= step * grad[used] / np.sqrt(seen[used])
-        seen_bias += off.sum() ** 2
-        bias -= step * off.sum() / math.sqrt(seen_bias)
-    return weights, float(bias)
+        score = np.bincount(row, value * w[col], len(target)) + w[-1]
+        off = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target) * each
+        grad = np.append(np.bincount(col, value * off[row], len(use)), off.sum())
+        moved = 0.9 * moved - step * grad
+        w += moved
+    weights[use] = w[:-1] * ratio[use]
+    return weights, float(w[-1])
 
 
 # --- labellers ------------------------------------------------------------------
 
-QUALITY_LABELLERS = ("length", "symbols", "capitals", "exclaims", "bars", "repeats", "curated")
+QUALITY_LABELLERS = ("empty", "symbols", "capitals", "exclaims", "bars", "repeats", "plain", "curated")
 TOXIC_LABELLERS = ("mined_words", "mined_starts", "density", "curated")
 
 
-def quality_votes(text: str) -> list[int]:
-    """1: low quality, 0: good, -1: no vote; each labeller looks at one sign."""
-    words = text.split()
-    if len(words) < 5:
-        return [1, -1, -1, -1, -1, -1]
-    raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-    letters_up, letters_low = raw[65:91].sum(), raw[97:123].sum()
-    symbols = raw[35:39].sum() + raw[42] + raw[60:63].sum() + raw[64] + raw[92] + raw[94:96].sum() + raw[126]
-    per_word = lambda n: n / len(words)
-    grade = lambda x, good, bad: 1 if x >= bad else 0 if x <= good else -1
-    return [
-        0 if len(words) >= 20 else -1,
-        grade(per_word(symbols), 0.05, 0.5),
-        grade(letters_up / max(1, letters_up + letters_low), 0.15, 0.5),
-        grade(per_word(raw[33]), 0.02, 0.3),
-        grade(per_word(raw[124]), 0.02, 0.3),
-        grade(1 - len(set(words)) / len(words), 0.6, 0.8),
-    ]
+def quality_votes(m: Measures) -> list[int]:
+    """1: low quality, 0: good, -1: no vote.  Each of the middle ones knows one sign of it; the last vouches for plain texts."""
+    grades = [(m.symbols, 0.05, 0.4), (m.capitals, 0.15, 0.5), (m.exclaims, 0.02, 0.3), (m.bars, 0.02, 0.3), (m.repeats, 0.6, 0.8)]
+    plain = m.size > 0 and all(x <= good for x, good, _ in grades)
+    return [-1 if m.size else 1, *(1 if m.size and x >= bad else -1 for x, _, bad in grades), 0 if plain else -1]
 
 
 def mine(docs: list[tuple[str, int]], least: int = 3) -> tuple[set[str], set[str]]:
@@ -175,23 +182,39 @@ def mine(docs: list[tuple[str, int]], least: int = 3) -> tuple[set[str], set[str
     bad, good = Counter(), Counter()
     n_bad = n_good = 0
     for text, toxic in docs:
-        names = {x for w in set(_WORD.findall(text)) for x in features(w) if x[0] != "s"}
+        names = {x for w in set(text.split()) for x in word_features(w)}
         (bad if toxic else good).update(names)
         n_bad, n_good = n_bad + toxic, n_good + 1 - toxic
-    marks = set()
-    for name, n in bad.items():
-        if n >= least and n / n_bad >= 20 * (good[name] + 0.5) / max(1, n_good):
-            marks.add(name)
+    marks = {name for name, n in bad.items() if n >= least and n / n_bad >= 20 * (good[name] + 0.5) / max(1, n_good)}
     return {x[2:] for x in marks if x[0] == "w"}, {x[2:] for x in marks if x[0] != "w"}
 
 
-def toxic_votes(text: str, words: set[str], starts: set[str]) -> list[int]:
-    letters = set(_LETTERS.findall(text.lower()))
-    if not words and not starts:
+class Marks:
+    """Looks for mined words and beginnings; remembers words that it has seen."""
+
+    def __init__(self, words: set[str], starts: set[str]) -> None:
+        self.words, self.starts = words, starts
+        self.memo: dict[str, tuple[int, int]] = {}
+
+    def count(self, word: str) -> tuple[int, int]:
+        """(mined words, mined beginnings) among a word's letters."""
+        got = self.memo.get(word)
+        if got is None:
+            letters = _LETTERS.findall(word.lower())
+            got = sum(x in self.words for x in letters), sum(any(y in self.starts for y in starts_of(x)) for x in letters)
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            if len(word) <= 64:
+                self.memo[word] = got
+        return got
+
+
+def toxic_votes(m: Measures, marks: Marks) -> list[int]:
+    if not marks.words and not marks.starts:
         return [-1, -1, -1]
-    marked = len(letters & words)
-    begun = sum(any(w[:n] in starts for n in STARTS if len(w) > n) for w in letters)
-    share = (marked + begun) / max(1, len(letters))
+    each = list(map(marks.count, m.counted))
+    marked, begun = sum(x for x, _ in each), sum(y for _, y in each)
+    share = (marked + begun) / max(1, len(each))
     return [1 if marked >= 2 else 0 if not marked else -1, 1 if begun >= 2 else 0 if not begun else -1, 1 if share >= 0.02 else 0 if share < 0.002 else -1]
 
 
@@ -199,30 +222,31 @@ def toxic_votes(text: str, words: set[str], starts: set[str]) -> list[int]:
 
 
 class LabelModel:
-    """Accuracies of labellers and the posterior of vote patterns, by expectation-maximisation."""
+    """Labellers' accuracies and the posterior of vote patterns, by expectation-maximisation.
+
+    A labeller is right with its own probability whenever it votes; no vote says
+    nothing.  The start takes any vote against a document as a hint, which also
+    settles which class is which.
+    """
 
     def __init__(self, votes: np.ndarray, counts: np.ndarray, trusted: int | None = None, rounds: int = 100) -> None:
-        """votes: patterns by labellers of 1, 0, -1.  trusted: a labeller that is held at 0.99."""
-        self.prior = 0.2
-        m = votes.shape[1]
-        #: chance to vote 1 given bad, and given good, where it votes
-        self.hit, self.false = np.full(m, 0.8), np.full(m, 0.1)
-        self.trusted = trusted
+        """votes: patterns by labellers of 1, 0, -1.  trusted: a labeller that is held right in 99 of 100 votes."""
+        self.accuracy = np.full(votes.shape[1], 0.9)
+        #: held, so that a lone vote against a document is not outweighed by the rest of the corpus
+        self.prior = PRIOR
+        p = np.where((votes == 1).any(axis=1), 0.95, 0.02)
         for _ in range(rounds):
-            p = self.posterior(votes)
-            bad, good = p * counts, (1 - p) * counts
-            for j in range(m):
-                one, zero = votes[:, j] == 1, votes[:, j] == 0
-                self.hit[j] = (bad[one].sum() + 2) / (bad[one].sum() + bad[zero].sum() + 4)
-                self.false[j] = (good[one].sum() + 1) / (good[one].sum() + good[zero].sum() + 20)
+            for j in range(votes.shape[1]):
+                right = (np.where(votes[:, j] == 1, p, 1 - p) * counts)[votes[:, j] >= 0].sum()
+                cast = counts[votes[:, j] >= 0].sum()
+                self.accuracy[j] = min(0.99, max(0.5, (right + 9) / (cast + 10)))
             if trusted is not None:
-                self.hit[trusted], self.false[trusted] = 0.99, 0.01
-            self.prior = min(0.9, max(0.001, bad.sum() / max(1e-9, counts.sum())))
+                self.accuracy[trusted] = 0.99
+            p = self.posterior(votes)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        odds = np.full(len(votes), math.log(self.prior / (1 - self.prior)))
-        odds += np.where(votes == 1, np.log(self.hit / self.false), 0).sum(axis=1)
-        odds += np.where(votes == 0, np.log((1 - self.hit) / (1 - self.false)), 0).sum(axis=1)
+        strength = np.log(self.accuracy / (1 - self.accuracy))
+        odds = math.log(self.prior / (1 - self.prior)) + np.where(votes < 0, 0, 2 * votes - 1) @ strength
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -268,10 +292,11 @@ def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text:
     words, starts = mine([(r.t, r.toxic) for r in known])
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks(words, starts)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            q = ["".join("01-"[v] for v in quality_votes(t)) for t in texts]
-            x = ["".join("01-"[v] for v in toxic_votes(t, words, starts)) for t in texts]
+            seen = [Measures(t) for t in batch.column(1).to_pylist()]
+            q = ["".join("01-"[v] for v in quality_votes(m)) for m in seen]
+            x = ["".join("01-"[v] for v in toxic_votes(m, marks)) for m in seen]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q, pa.string()), pa.array(x, pa.string())], ["id", "q", "x"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -285,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text:
     models: dict[str, LabelModel | None] = {}
     tables = {}
     for task in TASKS:
-        got = votes.groupBy(task).count().collect()  # at most 3 ** 7 rows
+        got = votes.groupBy(task).count().collect()  # at most 3 ** 8 rows
         patterns = np.array([["01-".index(c) if c != "-" else -1 for c in r[0]] for r in got])
         models[task] = LabelModel(patterns, np.array([r[1] for r in got], float), trusted=patterns.shape[1] - 1) if got else None
         tables[task] = dict(zip((r[0] for r in got), models[task].posterior(patterns))) if got else {}
@@ -293,24 +318,19 @@ def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text:
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], []]
-            for t in batch.column(0).to_pylist():
-                for i, row in enumerate(_rows(t, bits)):
-                    out[2 * i].append(list(row))
-                    out[2 * i + 1].append(list(row.values()))
-            types = [pa.list_(pa.int32()), pa.list_(pa.float32())] * 2
-            arrays = [batch.column(1), batch.column(2), *(pa.array(x, k) for x, k in zip(out, types))]
-            yield pa.RecordBatch.from_arrays(arrays, ["low_quality", "toxic", "qk", "qv", "xk", "xv"])
+            made = [_rows(t, bits) for t in batch.column(0).to_pylist()]
+            arrays = [pa.array([m[i] for m in made], pa.list_(pa.int32())) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *arrays], ["low_quality", "toxic", "q", "x"])
 
     train = rows.join(F.broadcast(chosen), "id").limit(sample).select("t", "low_quality", "toxic")
-    got = train.mapInArrow(
-        featurize, "low_quality string, toxic string, qk array<int>, qv array<float>, xk array<int>, xv array<float>"
-    ).toArrow()
+    got = train.mapInArrow(featurize, "low_quality string, toxic string, q array<int>, x array<int>").toArrow()
     weights, bias = np.zeros((2, 1 << bits), np.float32), np.zeros(2)
-    for i, (task, k) in enumerate(zip(TASKS, "qx")):
+    for i, (task, c) in enumerate(zip(TASKS, "qx")):
+        held = got.column(c).combine_chunks()
+        sizes = np.array([len(v) for v in held], np.int64)
+        at = held.flatten().to_numpy(zero_copy_only=False).astype(np.int32) if len(sizes) else np.zeros(0, np.int32)
         target = np.array([tables[task][v] for v in got.column(task).to_pylist()])
-        pairs = [dict(zip(a, b)) for a, b in zip(got.column(k + "k").to_pylist(), got.column(k + "v").to_pylist())]
-        weights[i], bias[i] = fit_linear(pairs, target, bits)
+        weights[i], bias[i] = fit_linear(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), at, target, bits)
     return Classifier(Scorer(weights, bias, bits), models, words, starts)
 
 
