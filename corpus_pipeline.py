@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, decontaminate, line_templates, simhash, weak_labels
+from lattica.llm import bpe, decontaminate, line_templates, near_sets, weak_labels
 from lattica.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,10 +35,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays.
 
+    Groups are linked by a share of 0.8 or more of the five-word shingles.
     Rows with a null id stay; rows that share the smallest id all stay.
     """
     table(spark, sf_dir, "documents")
-    groups = simhash.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    groups = near_sets.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(groups, docs.doc_id == groups.gone, "left_anti").select(*COLUMNS)
 
 
