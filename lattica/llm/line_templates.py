@@ -13,9 +13,11 @@ had some is dropped.
 Each map task first unites equal lines, with their count limited to the
 smallest ``short_docs`` document ids that the decision needs, so a line that a
 third of all documents share reaches the leaf's task once for each map task.
-Leaves are parsed as streams in the order of their lines, where lines of one
-template are near to each other; a line is compared with the last ``RECENT``
-templates of its leaf, so that memory is bounded however many lines share one.
+Leaves are parsed as streams in the order of their lines.  A line is compared
+with all templates of its leaf that may agree: the places after the leading words
+are cut into one block more than places may differ, so that a template that
+agrees has one block in full.  The newest template that agrees takes the line; a
+task holds all templates of one leaf.
 
 Defined cases: null and empty texts have no lines and stay as they are; rows
 that share an id count as one document, null ids likewise; line ends are ``\n``;
@@ -26,6 +28,7 @@ are named like the operator's own.
 from __future__ import annotations
 
 import re
+from bisect import insort
 from collections.abc import Iterator
 from heapq import nsmallest
 
@@ -40,8 +43,8 @@ from .common import materialize
 DEPTH, SIMILARITY = 4, 0.8
 MIN_WORDS, LONG_WORDS = 5, 50
 SHORT_DOCS, LONG_DOCS = 8, 3
-#: Distinct lines united at a time, and templates compared with a line.
-HELD, RECENT = 1 << 16, 64
+#: Distinct lines united at a time.
+HELD = 1 << 16
 FIELD = "<*>"
 _DIGIT = re.compile(r"[0-9]")
 
@@ -96,9 +99,17 @@ def _order(doc):
 class Tree:
     """Templates of leaves that come one after another."""
 
-    def __init__(self, similarity: float, long_words: int, long_docs: int, short_docs: int) -> None:
+    def __init__(self, similarity: float, long_words: int, long_docs: int, short_docs: int, depth: int = DEPTH) -> None:
         self.similarity, self.long_words, self.long_docs, self.short_docs = similarity, long_words, long_docs, short_docs
-        self.leaf, self.recent = None, []
+        self.depth = depth
+        self.leaf, self.held, self.blocks = None, [], {}
+
+    def _keys(self, words: list[str]) -> list[tuple]:
+        """The blocks of a line or template; those that agree share one at least."""
+        n, parts = len(words), int((1 - self.similarity) * len(words)) + 1
+        start = min(self.depth, n)
+        cuts = [start + (n - start) * i // parts for i in range(parts + 1)]
+        return [(i, *words[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
     def _close(self, templates: list[Template]) -> Iterator[tuple]:
         for t in templates:
@@ -115,19 +126,33 @@ class Tree:
             yield from self.flush()
             self.leaf = leaf
         words = text.split(" ")
-        for t in reversed(self.recent):
-            if t.agrees(words, self.similarity):
-                t.add(words, line, docs, keep)
-                return
-        new = Template(words)
-        new.add(words, line, docs, keep)
-        self.recent.append(new)
-        if len(self.recent) > RECENT:
-            yield from self._close([self.recent.pop(0)])
+        keys = self._keys(words)
+        tried = set()
+        best = -1
+        for k in keys:
+            for at in reversed(self.blocks.get(k, ())):
+                if at <= best:
+                    break
+                if at not in tried:
+                    tried.add(at)
+                    if self.held[at].agrees(words, self.similarity):
+                        best = at
+        known: set[tuple] = set()
+        if best < 0:
+            best = len(self.held)
+            self.held.append(Template(words))
+        else:
+            known = set(self._keys(self.held[best].words))
+        t = self.held[best]
+        t.add(words, line, docs, keep)
+        # keys of former words stay: what they find is compared all the same
+        for k in self._keys(t.words):
+            if k not in known:
+                insort(self.blocks.setdefault(k, []), best)
 
     def flush(self) -> Iterator[tuple]:
-        yield from self._close(self.recent)
-        self.recent = []
+        yield from self._close(self.held)
+        self.held, self.blocks = [], {}
 
 
 def templates(
@@ -187,7 +212,7 @@ def templates(
             yield out()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(similarity, long_words, long_docs, short_docs)
+        tree = Tree(similarity, long_words, long_docs, short_docs, depth)
         ids = None
         before: list | None = None
 
