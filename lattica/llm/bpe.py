@@ -1,48 +1,60 @@
 r"""BPE encoding and decoding by a streaming transducer with bounded lookahead.
 
-Encoding runs in the tokenizer file's own steps: special tokens are cut out,
+Encoding follows the tokenizer file's own steps: special tokens are cut out,
 white space and case are normalised, words are split off, and each word's bytes
-are merged by rank.  A word shorter than ``window`` symbols is merged at once
-(and remembered, in a bounded memo).  A longer one streams through the
-transducer: for each prefix it keeps the last token of that prefix's encoding (a
-token follows another if the two are left alone when encoded together; the
-encoding of a prefix is its last token after the encoding of the rest).  All
-continuations pass through one of the last ``lookahead`` prefixes, where
-``lookahead`` is the length of the longest token that the merge list can make;
-the path up to the prefix that all of them share is stable, its tokens are
-emitted, and everything before is forgotten.  Memory depends on the merge list,
-not on the text.
-
-Decoding is the reverse machine: ids become token strings one at a time
-(``surface``, joined as the tokenizer's own decode joins them when it names no
-decoder), or bytes, which a state machine turns into text, holding at most the
-three bytes of an unfinished character (``to_text``).
+are merged by rank.  A text is read in pieces (``PIECE`` bytes of its buffer), and
+every word goes through the transducer, which holds the symbols whose tokens may
+still change.
+
+``sufficient_lookahead`` computes from the merge list how far to the right of a
+place the decision to merge across it can depend on the text.  A merge (u, v)
+depends on what follows v only where an earlier merge takes the right edge of v
+(v itself or the last part of its making) together with what follows, and that
+merge in turn on still earlier ones; the longest such chain is the bound.  So an
+end of a token that lies so many symbols before the end of what has been read
+is an end of a token in any continuation; and as merges on both sides of such an
+end are independent, the tokens before it are emitted and their symbols
+forgotten.  A word's end makes all its tokens stable.  Memory depends on the
+merge list (and on a bounded memo of words that went through), not on the text;
+only a run of combining marks without any base character is held whole.
+
+Decoding is the reverse machine: ids become bytes, one table entry each, and an
+incremental UTF-8 decoder turns them into text, holding at most the three bytes
+of an unfinished character.  The bytes are either those of the token strings
+joined by spaces, as the tokenizer's own decode gives them when its file names no
+decoder, or (``readable``) those that the tokens stand for.
 
 Defined cases: null counts as empty, which has no tokens; strings of special
 tokens inside a text become these tokens, as the library does by default;
-repeated rows keep their row; other columns are ignored.
+repeated rows keep their row, null ids stay; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 import json
+import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "word_bpe_49k.json"
-#: Symbols merged at once, words remembered, and their greatest length.
-WINDOW, MEMO, MEMO_CHARS = 256, 1 << 18, 48
+#: Bytes of a text read at a time.
+PIECE = 1 << 16
+#: Words remembered, and their greatest length; characters of one word that are held before it is streamed.
+MEMO, MEMO_CHARS, LONG = 1 << 18, 48, 1 << 12
 #: Unicode's white space.
-_SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_SPACE = regex.compile("[" + "".join(map(chr, _SPACES)) + "]+")
+_SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def byte_symbols() -> list[str]:
@@ -52,10 +64,50 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def sufficient_lookahead(merges: list[tuple[str, str]], suffix: str = "") -> int:
+    """Symbols after a place that can decide whether a merge crosses it.
+
+    reach[u]: the most that the merges so far with left part u depend on, from
+    the end of u.  Merges come by rank, so that only earlier ones are chained.
+    """
+    length = lambda t: len(t.removesuffix(suffix)) if suffix and t != suffix else len(t)
+    edges: dict[str, set[str]] = {}
+    reach: dict[str, int] = {}
+    most = 1
+    for left, right in merges:
+        ends_word = bool(suffix) and right.endswith(suffix)
+        beyond = 0 if ends_word else max(reach.get(x, 0) for x in edges.get(right, {right}))
+        own = length(right) + beyond
+        reach[left] = max(reach.get(left, 0), own)
+        most = max(most, own)
+        edges.setdefault(left + right, {left + right}).update(edges.get(right, {right}))
+    return most
+
+
+@cache
+def _second_parts() -> frozenset[str]:
+    """Characters that canonical composition may join to one before them."""
+    found = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            found.add(chr(int(parts[1], 16)))
+    return frozenset(found)
+
+
+def _starts_anew(c: str) -> bool:
+    """Whether canonical composition treats what comes before this character by itself."""
+    if c.isascii():
+        return True
+    first = unicodedata.normalize("NFD", c)[0]
+    return not unicodedata.combining(first) and first not in _second_parts()
+
+
 class WordBPE:
-    """The tokenizer of a file: normalise, split, merge, decode."""
+    """The tokenizer of a file: normalise, split, merge."""
 
-    def __init__(self, path: str, window: int = WINDOW) -> None:
+    def __init__(self, path: str, window: int | None = None) -> None:
+        """window: symbols of one word that are merged at a time, twice the lookahead if not given."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -63,183 +115,330 @@ class WordBPE:
         self.suffix: str = model["end_of_word_suffix"] or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
-        self.window = window
-        #: the longest token in symbols
-        self.lookahead = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
+        self.lookahead = sufficient_lookahead(merges, self.suffix)
+        self.window = max(window or 0, 2 * self.lookahead)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.surface = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.words = regex.compile(pattern.replace(r"\s", _SPACE.pattern[1:-2]))
+        pattern = pattern.replace(r"\s", _SPACES)
+        self.words = regex.compile(pattern)
+        #: the same for ASCII texts in lower case
+        self.plain_words = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
+        #: the kinds of words without an end
+        self.runs = [regex.compile(p) for p in pattern.split("|") if p.endswith("+")]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.bytes = {s: b for b, s in enumerate(self.symbols)}
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.id_texts = [str(i) for i in range(max(self.surface) + 1)]
+        self.memo: dict[str, tuple[int, ...]] = {}
 
     def normalise(self, text: str) -> str:
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+        """Composed and in lower case; runs of white space stay, as no word holds any."""
+        if text.isascii():
+            return text.lower()
+        if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # characters one by one: no final form of sigma
-        return _SPACE.sub(" ", text).replace("Σ", "σ").lower()
+        return text.replace("Σ", "σ").lower()
+
+    def split(self, text: str) -> list[str]:
+        """The words of a normalised text."""
+        return (self.plain_words if text.isascii() else self.words).findall(text)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge the pair of least rank, the leftmost first, until none is left."""
-        rank, none = self.rank, len(self.rank)
-        while len(symbols) > 1:
-            best, at = none, -1
-            for i in range(len(symbols) - 1):
-                r = rank.get((symbols[i], symbols[i + 1]), none)
-                if r < best:
-                    best, at = r, i
-            if at < 0:
+        if len(symbols) > 64:
+            return self._merge_long(symbols)
+        rank, none = self.rank.get, len(self.rank)
+        ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            i = ranks.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((symbols[i], symbols[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), none)
         return symbols
 
-    def follows(self, left: str, right: str, last: bool) -> bool:
-        """Whether two tokens are left alone when encoded together."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            spelt = [*left, *right.removesuffix(self.suffix)] if last else [*left, *right]
-            if last:
-                spelt[-1] += self.suffix
-            known = self.merge(spelt) == [left, right]
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            self.pairs[key] = known
-        return known
-
-    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """Tokens of one word, whose last symbol bears the suffix, in bounded memory."""
-        reach = self.lookahead
-        #: of each live prefix: its symbols' number, its last token, the prefix before that
-        live: dict[int, tuple[str, int]] = {}
-        recent: list[str] = []
-        done, n = 0, 0
-        for symbol in symbols:
-            n += 1
-            recent = [*recent[-(reach - 1) :], symbol]
-            last = bool(self.suffix) and symbol.endswith(self.suffix) and symbol != self.suffix
-            for size in range(min(reach, len(recent), n - done), 0, -1):
-                token, before = "".join(recent[-size:]), n - size
-                if token not in self.vocab or (before > done and before not in live):
-                    continue
-                if before == done:
-                    ok = self.merge([*recent[-size:]]) == [token] and (self._after is None or self.follows(self._after, token, last))
-                else:
-                    ok = self.follows(live[before][0], token, last)
-                if ok:
-                    live[n] = (token, before)
-                    break
-            if n - done >= 4 * reach:
-                # the last prefix that all paths from the last ``reach`` prefixes pass through
-                paths = []
-                for end in range(n - reach + 1, n + 1):
-                    if end in live:
-                        path, p = set(), end
-                        while p > done:
-                            path.add(p)
-                            p = live[p][1]
-                        paths.append(path)
-                shared = set.intersection(*paths) if paths else set()
-                if shared:
-                    yield from self._back(live, done, max(shared))
-                    self._after, done = live[max(shared)][0], max(shared)
-                    live = {k: v for k, v in live.items() if k > done}
-        yield from self._back(live, done, n)
-
-    _after: str | None = None
-
-    @staticmethod
-    def _back(live: dict[int, tuple[str, int]], start: int, end: int) -> list[str]:
-        out = []
-        while end > start:
-            token, end = live[end]
-            out.append(token)
-        return out[::-1]
-
-    def word(self, word: str) -> list[str]:
-        """The tokens of one word."""
-        symbols = [self.symbols[b] for b in word.encode()]
-        symbols[-1] += self.suffix
-        if len(symbols) <= self.window:
-            return self.merge(symbols)
-        self._after = None
-        return list(self.stream(symbols))
-
-    def known(self, word: str) -> tuple[int, str, str]:
-        """(number of tokens, their ids, their strings), the latter joined by spaces."""
-        got = self.memo.get(word)
-        if got is None:
-            tokens = self.word(word)
-            got = len(tokens), " ".join(str(self.vocab[t]) for t in tokens), " ".join(tokens)
-            if len(word) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[word] = got
-        return got
-
-    def parts(self, text: str | None) -> Iterator[tuple[int, str, str]]:
-        """``known`` of each word and special token of a text."""
-        for i, piece in enumerate(self.cut.split(text or "") if self.cut else [text or ""]):
-            if i % 2:
-                yield 1, str(self.special[piece]), piece
-            elif piece:
-                yield from map(self.known, self.words.findall(self.normalise(piece)))
+    def _merge_long(self, symbols: list[str]) -> list[str]:
+        """The same with a heap of pairs."""
+        rank, n = self.rank, len(symbols)
+        part: list[str | None] = list(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := rank.get((part[i], part[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if part[i] != left or j >= n or part[j] != right:
+                continue
+            part[i], part[j] = left + right, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank.get((part[i], part[k]))) is not None:
+                    heapq.heappush(heap, (r, i, part[i], part[k]))
+            h = before[i]
+            if h >= 0 and (r := rank.get((part[h], part[i]))) is not None:
+                heapq.heappush(heap, (r, h, part[h], part[i]))
+        return [p for p in part if p is not None]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) for i in ids.split(" ")]
+        return Encoder(self).feed(text or "", True)
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """As the library decodes where the file names no decoder: token strings, joined by spaces."""
-        return " ".join(self.surface[i] for i in ids)
+    def decode(self, ids: Iterable[int], readable: bool = False) -> str:
+        return "".join(self.to_text(ids, readable))
 
-    def to_text(self, ids: Iterable[int]) -> Iterator[str]:
-        """Readable text, piece by piece: bytes as they come, a space after each word."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
+    def to_text(self, ids: Iterable[int], readable: bool = True) -> Iterator[str]:
+        """The decoded text piece by piece, one id at a time."""
+        machine = Decoder(self, readable)
         for i in ids:
-            token = self.surface[i]
-            if i in self.special.values():
-                yield state.decode(b"", True) + token
-                state.reset()
+            yield machine.feed([i])
+        yield machine.close()
+
+
+class Encoder:
+    """The transducer of one text: pieces of it go in, ids come out as soon as they are stable."""
+
+    def __init__(self, bpe: WordBPE) -> None:
+        self.bpe = bpe
+        #: raw text that may be part of a special token or change under normalisation; normalised text whose word may go on
+        self.raw, self.tail = "", ""
+        #: the kind and the unstable symbols of a long word that is open
+        self.run, self.symbols = None, []
+
+    def feed(self, text: str, last: bool = False) -> list[int]:
+        """The ids that have become stable; all that are left if this piece is the last."""
+        bpe, out = self.bpe, []
+        raw = self.raw + text
+        parts = bpe.cut.split(raw) if bpe.cut else [raw]
+        for i, part in enumerate(parts[:-1]):
+            if i % 2:
+                out.append(bpe.special[part])
+            elif part:
+                self._words(part, True, out)
+            elif self.tail or self.run:
+                self._words("", True, out)
+        rest = parts[-1]
+        upto = len(rest) if last else self._settled(rest)
+        self.raw = rest[upto:]
+        self._words(rest[:upto], last, out)
+        return out
+
+    def _settled(self, text: str) -> int:
+        """How much of a text cannot change by what follows it."""
+        upto = len(text)
+        while upto and not _starts_anew(text[upto - 1]):
+            upto -= 1
+        upto = max(0, upto - 1)
+        for special in self.bpe.special:
+            for size in range(min(len(special) - 1, len(text)), 0, -1):
+                if text.endswith(special[:size]):
+                    upto = min(upto, len(text) - size)
+                    break
+        # the place found for a special token must leave whole characters before it
+        while upto and upto < len(text) and not _starts_anew(text[upto]):
+            upto -= 1
+        return upto
+
+    def _words(self, text: str, end: bool, out: list[int]) -> None:
+        """Ids of the words of normalised pieces; ``end``: no word goes on after them."""
+        bpe = self.bpe
+        text = self.tail + bpe.normalise(text)
+        self.tail = ""
+        if self.run:
+            got = self.run.match(text)
+            n = got.end() if got else 0
+            self._push(text[:n], out)
+            if n == len(text) and not end:
+                return
+            self._finish(out)
+            text = text[n:]
+        if not end:
+            cut = len(text)
+            while cut and text[cut - 1] not in _SPACES:
+                cut -= 1
+            self.tail, text = text[cut:], text[:cut]
+        self._known(bpe.split(text), out)
+        if len(self.tail) > LONG:
+            self._long(out)
+
+    def _long(self, out: list[int]) -> None:
+        """A tail without a space: its complete words, and the beginning of one that goes on."""
+        text, done, whole = self.tail, 0, []
+        for m in self.bpe.words.finditer(text):
+            # the other kinds of words have at most three characters
+            if m.end() > len(text) - 3 and not (m.end() - m.start() > 3 and m.end() < len(text)):
+                break
+            whole.append(m[0])
+            done = m.end()
+        self._known(whole, out)
+        self.tail = text = text[done:]
+        if len(text) > LONG:
+            self.run = next(r for r in self.bpe.runs if r.match(text))
+            self.tail = ""
+            self._push(text, out)
+
+    def _known(self, words: list[str], out: list[int]) -> None:
+        memo = self.bpe.memo
+        found = list(map(memo.get, words))
+        if None in found:
+            for i, w in enumerate(words):
+                if found[i] is None:
+                    found[i] = got = memo.get(w) or self._word(w)
+                    if len(w) <= MEMO_CHARS:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        memo[w] = got
+        out.extend(chain.from_iterable(found))
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        out: list[int] = []
+        self._push(word, out)
+        self._finish(out)
+        return tuple(out)
+
+    def _push(self, chars: str, out: list[int]) -> None:
+        """Symbols of a word go in; tokens that nothing can change any more come out."""
+        bpe = self.bpe
+        spelt = [bpe.symbols[b] for b in chars.encode()]
+        for at in range(0, len(spelt), bpe.window):
+            self.symbols += spelt[at : at + bpe.window]
+            if len(self.symbols) <= bpe.window:
                 continue
-            ends = bool(self.suffix) and token.endswith(self.suffix)
-            raw = bytes(self.bytes[s] for s in (token.removesuffix(self.suffix) if ends else token))
-            yield state.decode(raw, ends) + (" " if ends else "")
-        yield state.decode(b"", True)
+            stable = len(self.symbols) - bpe.lookahead
+            done = 0
+            for token in bpe.merge(list(self.symbols)):
+                if done + len(token) > stable:
+                    break
+                done += len(token)
+                out.append(bpe.vocab[token])
+            self.symbols = self.symbols[done:]
+
+    def _finish(self, out: list[int]) -> None:
+        if self.symbols:
+            self.symbols[-1] += self.bpe.suffix
+            out.extend(map(self.bpe.vocab.__getitem__, self.bpe.merge(self.symbols)))
+        self.symbols, self.run = [], None
+
+
+class Decoder:
+    """The reverse machine: ids go in, bytes pass through, text comes out."""
+
+    def __init__(self, bpe: WordBPE, readable: bool = False) -> None:
+        self.table, self.between = _tables(bpe, readable)
+        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+        self.begun = False
+
+    def feed(self, ids: list[int]) -> str:
+        if not ids:
+            return ""
+        data = self.between.join(map(self.table.__getitem__, ids))
+        if self.begun:
+            data = self.between + data
+        self.begun = True
+        return self.state.decode(data)
+
+    def close(self) -> str:
+        return self.state.decode(b"", True)
+
+
+def _tables(bpe: WordBPE, readable: bool) -> tuple[list[bytes], bytes]:
+    """The bytes of each id, and those between two ids."""
+    name = f"_table_{readable}"
+    if not hasattr(bpe, name):
+        special = set(bpe.special.values())
+        back = {s: b for b, s in enumerate(bpe.symbols)}
+        table = [b""] * len(bpe.id_texts)
+        for i, token in bpe.surface.items():
+            if not readable or i in special:
+                table[i] = token.encode()
+            else:
+                ends = bool(bpe.suffix) and token.endswith(bpe.suffix)
+                table[i] = bytes(back[s] for s in (token.removesuffix(bpe.suffix) if ends else token)) + b" " * ends
+        setattr(bpe, name, table)
+    return getattr(bpe, name), b"" if readable else b" "
 
 
 @cache
-def tokenizer(path: str, window: int = WINDOW) -> WordBPE:
-    return WordBPE(path, window)
+def tokenizer(path: str) -> WordBPE:
+    return WordBPE(path)
+
+
+def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[Iterator[str]]:
+    """Each text of an array as pieces of at most ``size`` bytes, straight from its buffer; null as none."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].tolist() if len(texts) else [0]
+    data = memoryview(texts.buffers()[2] or b"")
+
+    def cut(a: int, b: int) -> Iterator[str]:
+        state = codecs.getincrementaldecoder("utf-8")()
+        for at in range(a, b, size):
+            yield state.decode(data[at : min(b, at + size)], at + size >= b)
+
+    null = texts.is_null().to_pylist()
+    for i, (a, b) in enumerate(zip(ends, ends[1:])):
+        if null[i] or a == b:
+            yield iter(())
+        elif b - a <= size:
+            yield iter((str(data[a:b], "utf-8"),))
+        else:
+            yield cut(a, b)
+
+
+def coded(bpe: WordBPE, text: Iterable[str], on_ids: Callable[[str], object], on_text: Callable[[str], object]) -> int:
+    """Run both machines over one text; gives each piece of the ids (joined by spaces) and of the decoded text away, returns the number of tokens."""
+    encoder, decoder, n = Encoder(bpe), Decoder(bpe), 0
+    held = iter(text)
+    piece = next(held, "")
+    while True:
+        following = next(held, None)
+        ids = encoder.feed(piece, following is None)
+        if ids:
+            on_ids((" " if n else "") + " ".join(map(bpe.id_texts.__getitem__, ids)))
+            on_text(decoder.feed(ids))
+            n += len(ids)
+        if following is None:
+            on_text(decoder.close())
+            return n
+        piece = following
+
+
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
+    """doc_id, n_tokens, ids (decimal, joined by spaces), decoded (as the library decodes these)."""
 
+    def one(bpe: WordBPE, text: Iterable[str]) -> tuple[int, str, str]:
+        ids: list[str] = []
+        decoded: list[str] = []
+        n = coded(bpe, text, ids.append, decoded.append)
+        return n, "".join(ids), "".join(decoded)
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, joined by spaces), decoded (as the library decodes these)."""
-    return _mapped(docs, doc_id, text, model, window, lambda ids: ids, "ids string, decoded string", lambda d: d)
+    return _mapped(docs, doc_id, text, model, one, "ids string, decoded string")
+
+
+def encode_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of ``ids`` and ``decoded`` of :func:`encode`, taken piece by piece."""
 
+    def one(bpe: WordBPE, text: Iterable[str]) -> tuple[int, str, str]:
+        ids, decoded = hashlib.sha256(), hashlib.sha256()
+        n = coded(bpe, text, lambda s: ids.update(s.encode()), lambda s: decoded.update(s.encode()))
+        return n, ids.hexdigest(), decoded.hexdigest()
 
-def encode_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of ``ids`` and ``decoded`` of :func:`encode`, without moving these."""
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return _mapped(docs, doc_id, text, model, window, sha, "ids_sha256 string, decoded_sha256 string", sha)
+    return _mapped(docs, doc_id, text, model, one, "ids_sha256 string, decoded_sha256 string")
 
 
-def _mapped(docs, doc_id, text, model, window, of_ids, columns, of_text) -> DataFrame:
+def _mapped(docs, doc_id, text, model, one, columns) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .token_counts import model_path
 
-        bpe = tokenizer(model_path(model), window)
+        bpe = tokenizer(model_path(model))
         for batch in batches:
-            n, ids, decoded = [], [], []
-            for t in batch.column(1):
-                got = list(bpe.parts(t.as_py()))
-                n.append(sum(x[0] for x in got))
-                ids.append(of_ids(" ".join([x[1] for x in got])))
-                decoded.append(of_text(" ".join([x[2] for x in got])))
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            got = [one(bpe, t) for t in pieces(batch.column(1))]
+            made = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
     names = ["id", "n_tokens", *(c.split(" ")[0] for c in columns.split(", "))]
