@@ -1,26 +1,30 @@
 """Token counts of whole texts, with overlap resynchronisation for huge ones.
 
-A text longer than ``chunk`` characters is encoded in chunks that overlap.  Each
-encoding keeps the offsets of its tokens.  Two neighbouring encodings are
-spliced at a boundary which both have inside their overlap, and which is proven
-stable: no token of the vocabulary can lie across it, whatever stands around.
-If the overlap holds none, it is widened (doubled) and the chunk encoded again,
-up to the whole text.  So the sum equals the count for the whole text.
-
-Proof used: the model's pieces hold the space mark only at their start (checked
-when the model is loaded; a model where that fails is encoded whole).  Merges
-join pieces of the vocabulary alone, so none crosses a place where a space
-follows a character that is none.  The same holds inside shorter texts, so these
-are counted by runs (spaces and the word after them), each run once while it is
-in the bounded memo.
-
-Defined cases: null counts as empty; the empty text has no token; rows keep
-their number and order of ids; other columns are ignored.
+A text longer than ``chunk`` characters is encoded by the library in chunks that
+overlap, each with the offsets of its tokens.  Two neighbouring encodings are
+spliced at a token boundary that both have inside their overlap and that is proven
+stable: no piece of the vocabulary lies across it in the text.  Merges only make
+pieces of the vocabulary, so nothing is ever merged across such a place,
+whatever stands around it, and the tokens on its two sides are those of the whole
+text.  If the overlap holds none, it is widened (doubled) and the next chunk
+encoded again; if even the whole open chunk holds none, that chunk grows.  So
+the sum equals the count for the whole text, in the memory of one chunk unless a
+text goes on for longer without any such place.
+
+Shorter texts are no huge ones: the library encodes them whole.
+
+Assumed of the model, as of the one used: its normaliser leaves the text as it is,
+but for the space put before it.
+
+Defined cases: null counts as empty; the empty text has no token; repeated rows
+keep their row, null ids stay; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,97 +34,79 @@ from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-#: Characters encoded at a time, and the first overlap of two chunks.
-CHUNK = 1 << 16
-OVERLAP = 1 << 8
-#: Runs whose counts are remembered, and their greatest length.
-MEMO, MEMO_CHARS = 1 << 18, 64
+#: Characters of a chunk, and of the first overlap of two chunks.
+CHUNK = 1 << 13
+OVERLAP = 1 << 7
 SPACES = " ▁"
-_RUN = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 
 
 class Counter:
     """Counts tokens as the library does for the whole text."""
 
-    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> None:
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
-        self.stable = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.chunk, self.overlap, self.memo = chunk, overlap, {}
-
-    def _run(self, run: str) -> int:
-        """Tokens of a run that starts with a space."""
-        n = self.memo.get(run)
-        if n is None:
-            # the library puts a space before each text
-            n = len(self.model.encode(run[1:])) if len(run) > 1 else 1
-            if len(run) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[run] = n
-        return n
-
-    def _plain(self, text: str) -> int:
-        return sum(map(self._run, _RUN.findall(" " + text)))
-
-    def ends(self, text: str, first: bool) -> tuple[list[int], list[int]]:
-        """(token numbers, offsets): after so many tokens of the chunk, so many of its characters are covered.
-
-        The space that the library puts before a chunk is left out unless it is the text's first.
-        """
-        n, at, numbers, offsets = 0, 0, [], []
-        for run in _RUN.findall(text):
-            spaced = run[0] in SPACES
-            lead = " " + run if first and at == 0 else run if spaced else None
-            n += self._run(lead) if lead else len(self.model.encode(run))
-            at += len(run)
-            numbers.append(n)
-            offsets.append(at)
-        return numbers, offsets
+    def __init__(self, path: str | None, chunk: int = CHUNK, overlap: int = OVERLAP, model=None) -> None:
+        if model is None:
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = model
+        self.pieces = set(map(model.id_to_piece, range(model.get_piece_size())))
+        self.longest = max(map(len, self.pieces))
+        self.marked = not any(re.search("[^▁]▁", p) for p in self.pieces)
+        self.chunk, self.overlap = chunk, overlap
+        #: how often an overlap had to be widened, and a chunk to grow
+        self.widened = self.grown = 0
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if not self.stable:
-            return len(self.model.encode(text))
-        if len(text) <= self.chunk:
-            return self._plain(text)
-        return self._spliced(text)
+        if len(text) > self.chunk:
+            return self._spliced(text)
+        return len(self.model.encode(text))
+
+    def begins(self, text: str, start: int, stop: int) -> list[int]:
+        """Where each token of a chunk begins in the text, in order."""
+        return [start + b for b, _ in self.model.encode(text[start:stop], out_type="offset_mapping")["offsets"]]
+
+    def stable(self, text: str, place: int) -> bool:
+        """Whether no piece of the vocabulary lies across a place of the text."""
+        if self.marked and text[place] in SPACES and text[place - 1] not in SPACES:
+            return True
+        first = max(0, place - self.longest + 1)
+        around = text[first : place + self.longest - 1].replace(" ", "▁")
+        at = place - first
+        # the space before the text belongs to its first piece
+        lead = "▁" if first == 0 else ""
+        return not any(
+            around[i:j] in self.pieces or (lead and i == 0 and lead + around[:j] in self.pieces)
+            for i in range(at)
+            for j in range(at + 1, min(len(around), i + self.longest) + 1)
+        )
 
     def _spliced(self, text: str) -> int:
-        total, at, base = 0, 0, 0
-        start, stop = 0, self.chunk
-        numbers, offsets = self.ends(text[:stop], True)
-        # tokens before ``at`` are in the sum; the open chunk covers start..stop, ``base`` of its tokens lie before ``at``
+        # tokens before ``at`` are in the sum; the open chunk is start..stop, its tokens begin at ``held``
+        total, at, start, stop = 0, 0, 0, min(len(text), self.chunk)
+        held = self.begins(text, start, stop)
         while stop < len(text):
             overlap, found = self.overlap, None
             while found is None:
-                begin = max(start, stop - overlap)
-                to = min(len(text), begin + self.chunk + overlap)
-                after, after_at = self.ends(text[begin:to], begin == 0)
-                common = {start + o for o in offsets} & {begin + o for o in after_at}
-                safe = [p for p in common if at < p < stop and p > begin and text[p] in SPACES and text[p - 1] not in SPACES]
-                if safe:
-                    found = max(safe)
-                elif begin == start:
-                    break
-                else:
+                begin = max(at, stop - overlap)
+                to = min(len(text), begin + max(self.chunk, 2 * overlap))
+                after = self.begins(text, begin, to)
+                common = set(held).intersection(after)
+                found = next((p for p in sorted(common, reverse=True) if max(at, begin) < p < stop and self.stable(text, p)), None)
+                if found is None:
+                    if begin == at:
+                        break
                     overlap *= 2
-            if found is None:  # no boundary in the whole chunk: it grows
-                stop = min(len(text), stop + self.chunk)
-                numbers, offsets = self.ends(text[start:stop], start == 0)
-                base = self._before(numbers, offsets, at - start)
+                    self.widened += 1
+            if found is None:
+                self.grown += 1
+                stop = min(len(text), 2 * stop - start)
+                held = self.begins(text, start, stop)
                 continue
-            total += self._before(numbers, offsets, found - start) - base
-            numbers, offsets, start, stop, at = after, after_at, begin, to, found
-            base = self._before(numbers, offsets, at - start)
-        return total + numbers[-1] - base
-
-    @staticmethod
-    def _before(numbers: list[int], offsets: list[int], place: int) -> int:
-        return numbers[offsets.index(place)] if place else 0
+            total += bisect_left(held, found) - bisect_left(held, at) if at else bisect_left(held, found)
+            held, start, stop, at = after, begin, to, found
+        return total + len(held) - (bisect_left(held, at) if at else 0)
 
 
 @cache
