@@ -4,22 +4,29 @@ Two tasks are learnt the same way: low quality and toxicity.  For each, several
 overlapping labellers vote on every document: against it (1), for it (0), or not
 at all (-1).  The votes of the whole corpus are counted by pattern (a small
 table: at most 3 to the number of labellers), and expectation-maximisation over
-the patterns estimates each labeller's accuracy and the share of bad documents.
+the patterns estimates how often each labeller votes which way on bad and on good
+documents (the curated labels are one of them) and the share of bad documents.
 The posterior of a document's pattern is its label; a linear scorer over hashed
-features (measures for quality, words and their beginnings for toxicity) is trained on a sample of at
-most ``sample`` documents, weighted so that both classes count alike, and
-scores every document as a whole.
+features (words, their beginnings and shapes, and measures of the whole text) is
+trained on a sample of at most ``sample`` documents, weighted so that both classes
+count alike, and scores every document as a whole.
 
-One labeller is the table of curated labels where it covers a document, and one
-(for toxicity) a word list mined from the curated labels: words and word
-beginnings that are frequent in documents labelled toxic and all but absent from
-the others.  Mining and training read bounded samples (``sample``, documents
-with the smallest seeded hash of their id); votes, counts and scores cover all.
+One labeller is the table of curated labels where it covers a document, and two
+(for toxicity) are words and word beginnings mined from the curated labels:
+frequent in documents labelled toxic and all but absent from the others.  Mining
+and training read bounded samples (``sample`` rows, those with the smallest
+seeded hash of their id); the driver gets the marks mined and the hashed features,
+never texts.  Votes, counts and scores cover all documents.
+
+Texts are taken one by one, so that a worker holds the counts of one of them and
+two bounded memos of words (``MEMO`` words of at most 64 characters each).
 
 Defined cases: null and empty texts are scored by their length alone (they are
 of low quality); without labels the other labellers stand alone; repeated rows
 each get their row; several labels of one id count as their majority (a tie as
-bad); null ids never match a label; other columns are ignored.
+bad); null ids never match a label; an empty table gives a scorer that rejects
+nothing; other columns travel along, but for such as are named like the
+operator's own.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +50,11 @@ TASKS = ("low_quality", "toxic")
 SAMPLE = 3000
 BITS = 18
 SEED = 42
-THRESHOLD = 0.5
-PRIOR = 0.3
-MEMO = 1 << 18
+#: Rejected from here on; a text without any known sign scores about one half, as both classes weigh alike.
+THRESHOLD = 0.6
+#: Documents that must hold a bucket, and how telling it must be: quality shows in common signs, toxicity in rare words.
+TRAINING = {"low_quality": (20, 1.0), "toxic": (3, 0.5)}
+MEMO = 1 << 17
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that serve as features.
 STARTS = (4, 6)
@@ -66,25 +76,33 @@ def word_features(word: str) -> list[str]:
     return found
 
 
+_SHAPE = str.maketrans({**{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "9" for c in range(48, 58)}})
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+
+
+def features_of(word: str) -> list[str]:
+    """All features of a word: its letters, their beginnings, and its shape (runs of a kind count once)."""
+    return [*word_features(word), "s:" + _RUN.sub(r"\1", word[:64].translate(_SHAPE))]
+
+
 class Measures:
     """What a text looks like: counts that labellers and features share."""
 
     def __init__(self, text: str) -> None:
-        self.words = text.split()
-        self.counted = Counter(self.words)
-        raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-        n = max(1, len(self.words))
-        up, low = int(raw[65:91].sum()), int(raw[97:123].sum())
-        symbols = raw[35:39].sum() + raw[42] + raw[60:63].sum() + raw[64] + raw[92] + raw[94:96].sum() + raw[126]
-        self.symbols, self.exclaims, self.bars = float(symbols) / n, float(raw[33]) / n, float(raw[124]) / n
+        words = text.split()
+        self.distinct = set(words)
+        raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256).tolist()
+        n = max(1, len(words))
+        up, low = sum(raw[65:91]), sum(raw[97:123])
+        symbols = sum(raw[35:39]) + raw[42] + sum(raw[60:63]) + raw[64] + raw[92] + sum(raw[94:97]) + raw[126]
+        self.symbols, self.exclaims, self.bars = symbols / n, raw[33] / n, raw[124] / n
         self.capitals = up / max(1, up + low)
-        self.repeats = 1 - len(self.counted) / n
-        self.size = n if self.words else 0
+        self.repeats = 1 - len(self.distinct) / n
+        self.size = len(words)
 
     def features(self) -> list[str]:
         """Each measure in steps, and the size by powers of two."""
-        steps = lambda x: str(int(min(x, 1.0) * 20))
-        found = [f"{k}={steps(getattr(self, k))}" for k in ("symbols", "exclaims", "bars", "capitals", "repeats")]
+        found = [f"{k}={int(min(getattr(self, k), 1.0) * 20)}" for k in ("symbols", "exclaims", "bars", "capitals", "repeats")]
         found.append(f"size={min(8, int(math.log2(self.size + 1)))}")
         return found
 
@@ -94,46 +112,45 @@ def bucket(name: str, bits: int) -> int:
 
 
 class Scorer:
-    """Hashed linear scorer: quality sums a text's measures, toxicity its distinct words."""
+    """Hashed linear scorer: sums the weights of a text's measures and distinct words for both tasks."""
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray, bits: int) -> None:
         self.weights, self.bias, self.bits = weights, bias, bits
-        self.mask = (1 << bits) - 1
-        #: most buckets weigh nothing
-        self.toxic = {int(i): float(weights[1, i]) for i in np.flatnonzero(weights[1])}
-        self.memo: dict[str, float] = {}
+        #: both tasks' weights in one number, real part and imaginary part; most buckets weigh nothing
+        self.both = {int(i): complex(*map(float, weights[:, i])) for i in np.flatnonzero(weights.any(axis=0))}
+        self.memo: dict[str, complex] = {}
 
-    def word(self, word: str) -> float:
-        got = self.memo.get(word)
-        if got is None:
-            hashed, mask, weigh = xxhash.xxh32_intdigest, self.mask, self.toxic.get
-            got = sum(weigh(hashed(x.encode("utf-8", "surrogatepass"), SEED) & mask, 0.0) for x in word_features(word))
-            if len(word) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[word] = got
+    def word(self, word: str) -> complex:
+        got = sum((self.both.get(bucket(x, self.bits), 0j) for x in features_of(word)), 0j)
+        if len(word) <= 64:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[word] = got
         return got
 
     def probabilities(self, text: str | None) -> tuple[float, float]:
+        """(of low quality, toxic)"""
         m = Measures(text or "")
-        quality = float(self.weights[0, [bucket(x, self.bits) for x in m.features()]].sum())
-        toxic = sum(map(self.word, m.counted))
-        return tuple(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in (quality + self.bias[0], toxic + self.bias[1]))
+        score = sum((self.both.get(bucket(x, self.bits), 0j) for x in m.features()), complex(*map(float, self.bias)))
+        known = self.memo.get
+        for word in m.distinct:
+            got = known(word)
+            score += self.word(word) if got is None else got
+        return tuple(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in (score.real, score.imag))
 
 
-def _rows(text: str, bits: int) -> tuple[list[int], list[int]]:
-    """The distinct buckets of a text for either task."""
+def buckets_of(text: str, bits: int) -> list[int]:
+    """The distinct buckets of a text."""
     m = Measures(text)
-    quality = {bucket(x, bits) for x in m.features()}
-    return list(quality), list({bucket(x, bits) for w in m.counted for x in word_features(w)})
+    return list({bucket(x, bits) for x in m.features()}.union(bucket(x, bits) for w in m.distinct for x in features_of(w)))
 
 
-def fit_linear(row: np.ndarray, at: np.ndarray, target: np.ndarray, bits: int, least: int = 3, rounds: int = 200) -> tuple[np.ndarray, float]:
+def fit_linear(row: np.ndarray, at: np.ndarray, target: np.ndarray, bits: int, least: int = 3, strength: float = 0.5, rounds: int = 120) -> tuple[np.ndarray, float]:
     """Logistic regression by gradient steps over a sparse 0/1 matrix (row, bucket); both classes weigh alike.
 
     Columns are scaled by their smoothed log ratio between the classes, so that
     telling buckets learn first; those of fewer than ``least`` documents, or
-    all but equally frequent in both classes, keep weight zero.
+    whose log ratio is within ``strength``, keep weight zero.
     target: the posterior of being bad.
     """
     weights = np.zeros(1 << bits, np.float32)
@@ -143,7 +160,7 @@ def fit_linear(row: np.ndarray, at: np.ndarray, target: np.ndarray, bits: int, l
     n_bad = np.bincount(at, target[row], 1 << bits)
     n_good = np.bincount(at, minlength=1 << bits) - n_bad
     ratio = np.log((n_bad + 2 * share) / (n_good + 2 * (1 - share)) * (1 - share) / share)
-    use = np.flatnonzero((n_bad + n_good >= least) & (np.abs(ratio) > 0.5))
+    use = np.flatnonzero((n_bad + n_good >= least) & (np.abs(ratio) > strength))
     place = np.full(1 << bits, -1, np.int32)
     place[use] = np.arange(len(use), dtype=np.int32)
     col = place[at]
@@ -168,6 +185,8 @@ def fit_linear(row: np.ndarray, at: np.ndarray, target: np.ndarray, bits: int, l
 
 QUALITY_LABELLERS = ("empty", "symbols", "capitals", "exclaims", "bars", "repeats", "plain", "curated")
 TOXIC_LABELLERS = ("mined_words", "mined_starts", "density", "curated")
+#: Those that vote both ways; that they are silent says nothing.
+TWO_SIDED = {"mined_words", "mined_starts", "density", "curated"}
 
 
 def quality_votes(m: Measures) -> list[int]:
@@ -177,15 +196,9 @@ def quality_votes(m: Measures) -> list[int]:
     return [-1 if m.size else 1, *(1 if m.size and x >= bad else -1 for x, _, bad in grades), 0 if plain else -1]
 
 
-def mine(docs: list[tuple[str, int]], least: int = 3) -> tuple[set[str], set[str]]:
-    """(words, word beginnings) that mark documents labelled toxic."""
-    bad, good = Counter(), Counter()
-    n_bad = n_good = 0
-    for text, toxic in docs:
-        names = {x for w in set(text.split()) for x in word_features(w)}
-        (bad if toxic else good).update(names)
-        n_bad, n_good = n_bad + toxic, n_good + 1 - toxic
-    marks = {name for name, n in bad.items() if n >= least and n / n_bad >= 20 * (good[name] + 0.5) / max(1, n_good)}
+def marks_of(counts: dict[str, tuple[int, int]], n_bad: int, n_good: int, least: int = 3) -> tuple[set[str], set[str]]:
+    """(words, word beginnings) that mark documents labelled toxic; counts: documents of either kind that hold a feature."""
+    marks = {name for name, (bad, good) in counts.items() if bad >= least and bad / n_bad >= 20 * (good + 0.5) / max(1, n_good)}
     return {x[2:] for x in marks if x[0] == "w"}, {x[2:] for x in marks if x[0] != "w"}
 
 
@@ -194,27 +207,33 @@ class Marks:
 
     def __init__(self, words: set[str], starts: set[str]) -> None:
         self.words, self.starts = words, starts
-        self.memo: dict[str, tuple[int, int]] = {}
-
-    def count(self, word: str) -> tuple[int, int]:
-        """(mined words, mined beginnings) among a word's letters."""
-        got = self.memo.get(word)
-        if got is None:
-            letters = _LETTERS.findall(word.lower())
-            got = sum(x in self.words for x in letters), sum(any(y in self.starts for y in starts_of(x)) for x in letters)
+        self.memo: dict[str, tuple[int, int] | bool] = {}
+
+    def count(self, word: str) -> tuple[int, int] | bool:
+        """(mined words, mined beginnings) among a word's letters, False if none."""
+        letters = _LETTERS.findall(word.lower())
+        got = sum(x in self.words for x in letters), sum(any(y in self.starts for y in starts_of(x)) for x in letters)
+        if not any(got):
+            got = False
+        if len(word) <= 64:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            if len(word) <= 64:
-                self.memo[word] = got
+            self.memo[word] = got
         return got
 
 
 def toxic_votes(m: Measures, marks: Marks) -> list[int]:
     if not marks.words and not marks.starts:
         return [-1, -1, -1]
-    each = list(map(marks.count, m.counted))
-    marked, begun = sum(x for x, _ in each), sum(y for _, y in each)
-    share = (marked + begun) / max(1, len(each))
+    marked = begun = 0
+    known = marks.memo.get
+    for word in m.distinct:
+        got = known(word)
+        if got is None:
+            got = marks.count(word)
+        if got:
+            marked, begun = marked + got[0], begun + got[1]
+    share = (marked + begun) / max(1, len(m.distinct))
     return [1 if marked >= 2 else 0 if not marked else -1, 1 if begun >= 2 else 0 if not begun else -1, 1 if share >= 0.02 else 0 if share < 0.002 else -1]
 
 
@@ -222,31 +241,45 @@ def toxic_votes(m: Measures, marks: Marks) -> list[int]:
 
 
 class LabelModel:
-    """Labellers' accuracies and the posterior of vote patterns, by expectation-maximisation.
+    """Labellers' habits, the share of bad documents and the posterior of vote patterns, by expectation-maximisation.
 
-    A labeller is right with its own probability whenever it votes; no vote says
-    nothing.  The start takes any vote against a document as a hint, which also
-    settles which class is which.
+    Each labeller votes for itself, given the class: its outcomes are 1 and 0
+    (where it votes) for one that votes both ways, and -1, 0, 1 for one that
+    knows a single sign, whose silence speaks too.  The start takes any vote
+    against a document as a hint, which settles which class is which.
     """
 
-    def __init__(self, votes: np.ndarray, counts: np.ndarray, trusted: int | None = None, rounds: int = 100) -> None:
-        """votes: patterns by labellers of 1, 0, -1.  trusted: a labeller that is held right in 99 of 100 votes."""
-        self.accuracy = np.full(votes.shape[1], 0.9)
-        #: held, so that a lone vote against a document is not outweighed by the rest of the corpus
-        self.prior = PRIOR
+    def __init__(self, votes: np.ndarray, counts: np.ndarray, two_sided: list[bool], rounds: int = 100) -> None:
+        """votes: patterns by labellers of 1, 0, -1; counts: documents of each."""
+        self.two_sided = two_sided
         p = np.where((votes == 1).any(axis=1), 0.95, 0.02)
         for _ in range(rounds):
-            for j in range(votes.shape[1]):
-                right = (np.where(votes[:, j] == 1, p, 1 - p) * counts)[votes[:, j] >= 0].sum()
-                cast = counts[votes[:, j] >= 0].sum()
-                self.accuracy[j] = min(0.99, max(0.5, (right + 9) / (cast + 10)))
-            if trusted is not None:
-                self.accuracy[trusted] = 0.99
+            #: the share of bad documents
+            self.prior = float((p * counts).sum() / counts.sum())
+            self.prior = min(max(self.prior, 1e-4), 1 - 1e-4)
+            #: of each labeller: the chance of each outcome on bad and on good documents
+            self.habits = []
+            for v, both in zip(votes.T, two_sided):
+                outcomes = (0, 1) if both else (-1, 0, 1)
+                seen = np.array([[(q * counts)[v == o].sum() + 0.5 for o in outcomes] for q in (p, 1 - p)])
+                self.habits.append(dict(zip(outcomes, (seen / seen.sum(axis=1, keepdims=True)).T.tolist())))
             p = self.posterior(votes)
 
+    @property
+    def accuracy(self) -> list[float]:
+        """How often each labeller is right where it votes."""
+        found = []
+        for habit in self.habits:
+            right = self.prior * habit[1][0] + (1 - self.prior) * habit[0][1]
+            found.append(right / (right + self.prior * habit[0][0] + (1 - self.prior) * habit[1][1]))
+        return found
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        strength = np.log(self.accuracy / (1 - self.accuracy))
-        odds = math.log(self.prior / (1 - self.prior)) + np.where(votes < 0, 0, 2 * votes - 1) @ strength
+        """The chance of being bad of each pattern."""
+        odds = np.full(len(votes), math.log(self.prior / (1 - self.prior)))
+        for v, habit in zip(votes.T, self.habits):
+            for outcome, (bad, good) in habit.items():
+                odds[v == outcome] += math.log(bad / good)
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -277,6 +310,28 @@ class Classifier:
         self.scorer, self.models, self.words, self.starts = scorer, models, words, starts
 
 
+def _mined(known: DataFrame) -> tuple[set[str], set[str]]:
+    """Marks of the toxic rows among ``known`` (t, toxic); rows are counted by feature where they are read."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad, good = Counter(), Counter()
+            for t, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                (bad if toxic else good).update({x for w in set(t.as_py().split()) for x in word_features(w)} | {""})
+            names = list(bad | good)
+            arrays = [pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in (bad, good))]
+            yield pa.RecordBatch.from_arrays(arrays, ["name", "bad", "good"])
+
+    counts = known.mapInArrow(count, "name string, bad long, good long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = materialize(counts.where("name = '' or bad > 0"))
+    total = counts.where("name = ''").first()
+    if total is None or not total.bad:
+        return set(), set()
+    share = F.col("bad") / total.bad >= 20 * (F.col("good") + 0.5) / max(1, total.good)
+    kept = counts.where((F.col("name") != "") & (F.col("bad") >= 3) & share).collect()
+    return marks_of({r.name: (r.bad, r.good) for r in kept}, total.bad, total.good)
+
+
 def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS) -> Classifier:
     """Votes and counts over all of ``docs``; words mined and weights trained on at most ``sample`` rows each."""
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
@@ -288,15 +343,16 @@ def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text:
     curated = materialize(curated)
     n_labels = curated.count()
     ids = _sampled(curated.select(F.col("of").alias("id"), "toxic").where("toxic is not null"), n_labels, sample)
-    known = rows.join(F.broadcast(ids), "id").select("t", "toxic").limit(sample).collect()
-    words, starts = mine([(r.t, r.toxic) for r in known])
+    words, starts = _mined(rows.join(F.broadcast(ids), "id").select("t", "toxic").limit(sample))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(words, starts)
         for batch in batches:
-            seen = [Measures(t) for t in batch.column(1).to_pylist()]
-            q = ["".join("01-"[v] for v in quality_votes(m)) for m in seen]
-            x = ["".join("01-"[v] for v in toxic_votes(m, marks)) for m in seen]
+            q, x = [], []
+            for t in batch.column(1):
+                m = Measures(t.as_py())
+                q.append("".join("01-"[v] for v in quality_votes(m)))
+                x.append("".join("01-"[v] for v in toxic_votes(m, marks)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q, pa.string()), pa.array(x, pa.string())], ["id", "q", "x"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -309,28 +365,33 @@ def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text:
     n = votes.count()
     models: dict[str, LabelModel | None] = {}
     tables = {}
-    for task in TASKS:
+    for task, labellers in zip(TASKS, (QUALITY_LABELLERS, TOXIC_LABELLERS)):
         got = votes.groupBy(task).count().collect()  # at most 3 ** 8 rows
         patterns = np.array([["01-".index(c) if c != "-" else -1 for c in r[0]] for r in got])
-        models[task] = LabelModel(patterns, np.array([r[1] for r in got], float), trusted=patterns.shape[1] - 1) if got else None
+        models[task] = LabelModel(patterns, np.array([r[1] for r in got], float), [x in TWO_SIDED for x in labellers]) if got else None
         tables[task] = dict(zip((r[0] for r in got), models[task].posterior(patterns))) if got else {}
     chosen = _sampled(votes, n, sample)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_rows(t, bits) for t in batch.column(0).to_pylist()]
-            arrays = [pa.array([m[i] for m in made], pa.list_(pa.int32())) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *arrays], ["low_quality", "toxic", "q", "x"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made = pa.array([buckets_of(t.as_py(), bits) for t in part.column(0)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), made], ["low_quality", "toxic", "at"])
 
     train = rows.join(F.broadcast(chosen), "id").limit(sample).select("t", "low_quality", "toxic")
-    got = train.mapInArrow(featurize, "low_quality string, toxic string, q array<int>, x array<int>").toArrow()
+    got = train.mapInArrow(featurize, "low_quality string, toxic string, at array<int>").toArrow()
     weights, bias = np.zeros((2, 1 << bits), np.float32), np.zeros(2)
-    for i, (task, c) in enumerate(zip(TASKS, "qx")):
-        held = got.column(c).combine_chunks()
-        sizes = np.array([len(v) for v in held], np.int64)
-        at = held.flatten().to_numpy(zero_copy_only=False).astype(np.int32) if len(sizes) else np.zeros(0, np.int32)
-        target = np.array([tables[task][v] for v in got.column(task).to_pylist()])
-        weights[i], bias[i] = fit_linear(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), at, target, bits)
+    if got.num_rows:
+        held = got.column("at").combine_chunks()
+        sizes = pa.compute.list_value_length(held).to_numpy(zero_copy_only=False)
+        row, at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), held.flatten().to_numpy(zero_copy_only=False)
+        del held
+        for i, task in enumerate(TASKS):
+            target = np.array([tables[task][v] for v in got.column(task).to_pylist()])
+            weights[i], bias[i] = fit_linear(row, at, target, bits, *TRAINING[task])
+    else:
+        bias[:] = -10.0
     return Classifier(Scorer(weights, bias, bits), models, words, starts)
 
 
@@ -345,7 +406,7 @@ def score(docs: DataFrame, classifier: Classifier, text: str = "text", threshold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Scorer(*held.value, bits)
         for batch in batches:
-            got = [mine.probabilities(t) for t in batch.column(at).to_pylist()]
+            got = [mine.probabilities(t.as_py()) for t in batch.column(at)]
             bad = [max(x) >= threshold for x in got]
             arrays = [*batch.columns, pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64()), pa.array(bad, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *own])
