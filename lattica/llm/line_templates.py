@@ -10,14 +10,21 @@ the one with the smallest id, so that nothing is lost from the corpus.  Lines of
 lines under ``min_words`` are never dropped.  A document left without lines that
 had some is dropped.
 
-Each map task first unites equal lines, with their count limited to the
-smallest ``short_docs`` document ids that the decision needs, so a line that a
-third of all documents share reaches the leaf's task once for each map task.
-Leaves are parsed as streams in the order of their lines.  A line is compared
-with all templates of its leaf that may agree: the places after the leading words
-are cut into one block more than places may differ, so that a template that
-agrees has one block in full.  The newest template that agrees takes the line; a
-task holds all templates of one leaf.
+Each map task first unites equal lines (``HELD`` bytes of them at a time), with
+their count limited to the smallest ``short_docs`` document ids that the decision
+needs, so a line that a third of all documents share reaches the leaf's task once
+for each map task.  Leaves are parsed as streams in the order of their lines.  A
+line is compared with all templates of its leaf that may agree: the places after
+the leading words are cut into one block more than places may differ, so that a
+template that agrees has one block in full.  The newest template that agrees takes
+the line.
+
+A leaf with more than ``leaf_lines`` united lines is split by further words: each
+line goes to one smaller leaf for each of its blocks, named by the words there.  A
+template's lines agree in all places but its fields, which leave one block at least
+untouched, so that they all meet in that block's leaf.  A line found in several
+of them is kept by the smallest of the documents named.  A task holds the templates
+of one leaf and the hashes of their lines.
 
 Defined cases: null and empty texts have no lines and stay as they are; rows
 that share an id count as one document, null ids likewise; line ends are ``\n``;
@@ -43,8 +50,10 @@ from .common import materialize
 DEPTH, SIMILARITY = 4, 0.8
 MIN_WORDS, LONG_WORDS = 5, 50
 SHORT_DOCS, LONG_DOCS = 8, 3
-#: Distinct lines united at a time.
-HELD = 1 << 16
+#: Characters of distinct lines united at a time.
+HELD = 1 << 24
+#: Lines of a leaf that is not split.
+LEAF_LINES = 1 << 17
 FIELD = "<*>"
 _DIGIT = re.compile(r"[0-9]")
 
@@ -69,11 +78,19 @@ def leaf_of(words: list[str], depth: int) -> int:
     return number(str(len(words)), *words[:depth])
 
 
+def blocks_of(words: list[str], depth: int, similarity: float) -> list[tuple]:
+    """The blocks of a line or template; those that agree share one at least."""
+    n, parts = len(words), int((1 - similarity) * len(words)) + 1
+    start = min(depth, n)
+    cuts = [start + (n - start) * i // parts for i in range(parts + 1)]
+    return [(i, *words[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
 class Template:
-    __slots__ = ("words", "docs", "lines", "known")
+    __slots__ = ("words", "docs", "lines")
 
     def __init__(self, words: list[str]) -> None:
-        self.words, self.docs, self.lines, self.known = words, set(), [], False
+        self.words, self.docs, self.lines = words, set(), []
 
     def agrees(self, words: list[str], similarity: float) -> bool:
         most = (1 - similarity) * len(words)
@@ -87,8 +104,11 @@ class Template:
         return differ + sum(a == FIELD and b != FIELD for a, b in zip(self.words, words)) <= most
 
     def add(self, words: list[str], line: int, docs: list, keep: int) -> None:
-        self.words = [a if a == b else FIELD for a, b in zip(self.words, words)]
-        self.docs = set(nsmallest(keep, self.docs.union(docs), key=_order))
+        if self.lines:
+            self.words = [a if a == b else FIELD for a, b in zip(self.words, words)]
+        self.docs.update(docs)
+        if len(self.docs) > keep:
+            self.docs = set(nsmallest(keep, self.docs, key=_order))
         self.lines.append(line)
 
 
@@ -104,12 +124,11 @@ class Tree:
         self.depth = depth
         self.leaf, self.held, self.blocks = None, [], {}
 
-    def _keys(self, words: list[str]) -> list[tuple]:
-        """The blocks of a line or template; those that agree share one at least."""
-        n, parts = len(words), int((1 - self.similarity) * len(words)) + 1
-        start = min(self.depth, n)
-        cuts = [start + (n - start) * i // parts for i in range(parts + 1)]
-        return [(i, *words[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    def _index(self, at: int, known: set[tuple]) -> None:
+        """Keys of a template; those of former words stay: what they find is compared all the same."""
+        for k in blocks_of(self.held[at].words, self.depth, self.similarity):
+            if k not in known:
+                insort(self.blocks.setdefault(k, []), at)
 
     def _close(self, templates: list[Template]) -> Iterator[tuple]:
         for t in templates:
@@ -126,10 +145,15 @@ class Tree:
             yield from self.flush()
             self.leaf = leaf
         words = text.split(" ")
-        keys = self._keys(words)
+        if not self.held:  # most leaves have one line
+            self.held.append(Template(words))
+            self.held[0].add(words, line, docs, keep)
+            return
+        if not self.blocks:
+            self._index(0, set())
         tried = set()
         best = -1
-        for k in keys:
+        for k in blocks_of(words, self.depth, self.similarity):
             for at in reversed(self.blocks.get(k, ())):
                 if at <= best:
                     break
@@ -142,13 +166,9 @@ class Tree:
             best = len(self.held)
             self.held.append(Template(words))
         else:
-            known = set(self._keys(self.held[best].words))
-        t = self.held[best]
-        t.add(words, line, docs, keep)
-        # keys of former words stay: what they find is compared all the same
-        for k in self._keys(t.words):
-            if k not in known:
-                insort(self.blocks.setdefault(k, []), best)
+            known = set(blocks_of(self.held[best].words, self.depth, self.similarity))
+        self.held[best].add(words, line, docs, keep)
+        self._index(best, known)
 
     def flush(self) -> Iterator[tuple]:
         yield from self._close(self.held)
@@ -165,6 +185,7 @@ def templates(
     long_words: int = LONG_WORDS,
     short_docs: int = SHORT_DOCS,
     long_docs: int = LONG_DOCS,
+    leaf_lines: int = LEAF_LINES,
 ) -> DataFrame:
     """(line, first, template): hashes of lines to drop, and the document that keeps them."""
     keep = max(short_docs, long_docs)
@@ -181,6 +202,7 @@ def templates(
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
+        size = 0
 
         def out() -> pa.RecordBatch:
             leaves, lines = [], []
@@ -202,12 +224,14 @@ def templates(
                     seen = held.get(key)
                     if seen is None:
                         held[key] = [doc]
+                        size += len(key)
                     elif doc not in seen:
                         seen.append(doc)
                         if len(seen) > 4 * keep:
                             seen[:] = nsmallest(keep, seen, key=_order)
-                if len(held) >= HELD:
-                    yield out()
+                    if size >= HELD:
+                        yield out()
+                        size = 0
         if held:
             yield out()
 
@@ -237,8 +261,25 @@ def templates(
         if before is not None:
             yield made([*tree.push(*before), *tree.flush()])
 
-    lines = docs.select(doc_id, text).mapInArrow(unite, united)
-    return lines.repartition("leaf").sortWithinPartitions("leaf", "words").mapInArrow(parse, decided)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                keys = blocks_of(one.column(1)[0].as_py().split(" "), depth, similarity)
+                leaves = [number(str(one.column(0)[0].as_py()), *map(str, k)) for k in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(leaves, pa.int64()), *(c.take(pa.array([0] * len(leaves))) for c in one.columns[1:])], batch.schema.names
+                )
+
+    lines = materialize(docs.select(doc_id, text).mapInArrow(unite, united))
+    crowded = materialize(lines.groupBy("leaf").count().where(F.col("count") > leaf_lines).select("leaf"))
+    parsed = lambda df: df.repartition("leaf").sortWithinPartitions("leaf", "words").mapInArrow(parse, decided)
+    if crowded.isEmpty():
+        return parsed(lines)
+    # there are fewer crowded leaves than lines by leaf_lines times
+    split = lines.join(crowded, "leaf", "left_semi").select(*united.names).mapInArrow(deal, united)
+    both = parsed(lines.join(crowded, "leaf", "left_anti").select(*united.names).unionAll(split))
+    return both.groupBy("line").agg(F.min(F.struct(F.col("first").isNotNull().alias("known"), "first", "template")).alias("x")).select("line", "x.first", "x.template")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
