@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, decontaminate, line_templates, near_sets, weak_labels
+from lattica.llm import bpe, decontaminate, line_templates, simhash, weak_labels
 from lattica.llm.common import materialize, table
 
+#: Bits within which the trees propose near-duplicates.
+RADIUS = 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -39,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null id stay; rows that share the smallest id all stay.
     """
     table(spark, sf_dir, "documents")
-    groups = near_sets.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    groups = simhash.near_duplicates(docs, shingle=5, radius=RADIUS, verify=True).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(groups, docs.doc_id == groups.gone, "left_anti").select(*COLUMNS)
 
 

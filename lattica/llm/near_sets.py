@@ -1,19 +1,29 @@
-"""Near-duplicates by an exact share of word shingles: a prefix-filtered set join.
-
-A text's set holds the hashes of its five-word shingles, in one order for all
-texts: sets with a share (Jaccard) of 0.8 or more have a shingle in common among
-the first fifth of each, so that only texts that meet there are compared, and no
-such pair is missed.  Shingles that many texts hold come last in the order;
-equal sets are united first.
-
-Pairs that meet in a group of at most ``cap`` sets are all compared.  In a larger
-group all are compared with its least set; then those outside the component of
-the least set with every member of another component.  Links inside a component
-add nothing to it, so that the components are those of all pairs.
+"""Near-duplicates by an exact share of word shingles, proposed by BK-trees over SimHash fingerprints.
+
+A text's set holds the hashes of its five-word shingles, and its fingerprint is
+their SimHash.  Sets with a share (Jaccard) of 0.8 or more have shingles in common
+among their least: each of the ``LEADS`` least of both together is in both with a
+chance of 0.8, so that a pair shares none of them with a chance under 0.2 to the
+power of LEADS.  The texts that share one of these shingles form a shard; the
+shard is a BK-tree (children keyed by their Hamming distance to the parent) whose
+search follows only edges within ``radius`` bits, and what it finds is linked if
+the whole sets have the share.  A share of 0.8 puts two fingerprints about ten
+bits apart, so that a radius of 20 bits is over three deviations beyond.
+
+Shingles that crowd a shard (more than ``cap`` texts) come last in the order of the
+sets that have one of them among the least.  Such sets take the first fifth of
+their shingles instead, which misses no pair.  Equal sets are united first.
+
+Shards of at most ``cap`` texts are searched by all their members.  In a larger one
+all are first compared with its least set; then those outside the component of the
+least set search it (in trees of at most ``MAX_SHARD`` members, each visited by all
+of them) for members of other components.  Links inside a component add nothing to
+it, so that the components are those of all pairs.
 
 Defined cases: words are those of ``simhash``; null texts count as empty; texts
 without words are equal, texts under five words are one shingle; rows with a null
-id are linked but never name a component; other columns are ignored.
+id are linked but never name a component; repeated rows keep their row; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,102 +36,143 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bytes_of, materialize
 from .components import connected_components
-from .simhash import _FOLD, SEED
+from .simhash import MAX_SHARD, SEED, BKForest, majority, shingle_hashes, whole_shards
 
 SHINGLE = 5
-#: Sets of a group that are compared pair by pair.
-CAP = 32
-
-
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The hashes of a text's word shingles, ascending and distinct."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
-    if not words:
-        return np.zeros(0, np.int64)
-    n = max(1, len(words) - shingle + 1)
-    joined = b" ".join(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    first, last = (ends - size)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hashed(joined[i:j], SEED) for i, j in zip(first, last)), np.uint64, n).view(np.int64))
+#: Sets of a shard that are compared pair by pair; least shingles that name a set's shards; bits.
+CAP, LEADS, RADIUS = 32, 16, 20
+#: Keys that may be broadcast to the sets, in bytes of their file.
+BROADCAST_LIMIT = 16 << 20
 
 
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, sig, tokens): each row's set and the hash that tells it from others."""
+    """(id, sig, fp, tokens): each row's set, the hash that tells it from others, and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            sigs = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            ends = np.cumsum([0, *map(len, sets)])
-            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs), tokens], ["id", "sig", "tokens"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                fps, sets = [], []
+                for t in part.column(1):
+                    hashes = shingle_hashes(t.as_py(), shingle)
+                    fps.append(majority(hashes))
+                    sets.append(np.unique(hashes.view(np.int64)))
+                sigs = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                ends = np.cumsum([0, *map(len, sets)])
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sigs), pa.array(np.array(fps, np.uint64).view(np.int64)), tokens], ["id", "sig", "fp", "tokens"]
+                )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, sig long, tokens array<long>")
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, sig long, fp long, tokens array<long>")
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """Broadcast a written table of keys if its files are small; else both sides are merged."""
+    return F.broadcast(keys) if bytes_of(keys) <= BROADCAST_LIMIT else keys.hint("merge")
 
 
 def _prefixes(sets: DataFrame, cap: int) -> DataFrame:
-    """(tok, sig, n, left): the first shingles of each set, and how many it has from there on."""
+    """(tok, sig, fp, n, left): the first shingles of each set, and how many it has from there on."""
     n = F.size("tokens")
-    low = sets.select(F.explode(F.slice("tokens", 1, F.greatest(F.lit(1), F.floor((2 * n + 4) / 5).cast("int")))).alias("tok"))
-    hot = materialize(low.groupBy("tok").agg(F.count("*").alias("of")).where(F.col("of") > cap).select("tok"))
-    if not hot.isEmpty():
-        held = sets.select("sig", F.explode("tokens").alias("tok")).join(hot, "tok")
-        held = materialize(held.groupBy("sig").agg(F.sort_array(F.collect_set("tok")).alias("hot")))
-        last = F.coalesce("hot", F.array().cast("array<long>"))
-        sets = sets.join(held, "sig", "left").select("sig", F.concat(F.array_except("tokens", last), last).alias("tokens"))
     upto = n - F.floor((4 * n + 4) / 5).cast("int") + 1
-    # only the first shingles travel, so that the whole sets need no exchange
-    first = sets.where(n > 0).select("sig", n.alias("n"), F.slice("tokens", 1, upto).alias("first")).dropDuplicates(["sig"])
-    each = first.select("sig", "n", F.posexplode("first").alias("at", "tok"))
-    return materialize(each.select("tok", "sig", "n", (F.col("n") - F.col("at")).alias("left")))
+    least = sets.where(n > 0).select("sig", "fp", n.alias("n"), F.slice("tokens", 1, F.least(upto, F.lit(LEADS))).alias("first"))
+    least = least.dropDuplicates(["sig"]).select("sig", "fp", "n", F.posexplode("first").alias("at", "tok"))
+    least = materialize(least.select("tok", "sig", "fp", "n", (F.col("n") - F.col("at")).alias("left")))
+    hot = materialize(least.groupBy("tok").agg(F.count("*").alias("of")).where(F.col("of") > cap).select("tok"))
+    if hot.isEmpty():
+        return least
+    touched = materialize(least.join(_few(hot), "tok", "left_semi").select("sig").distinct())
+    whole = materialize(sets.join(_few(touched), "sig", "left_semi").dropDuplicates(["sig"]))
+    held = whole.select("sig", F.explode("tokens").alias("tok")).join(_few(hot), "tok", "left_semi")
+    held = held.groupBy("sig").agg(F.sort_array(F.collect_set("tok")).alias("hot"))
+    last = F.col("hot")
+    moved = whole.join(held, "sig").select("sig", "fp", n.alias("n"), F.slice(F.concat(F.array_except("tokens", last), last), F.lit(1), upto).alias("first"))
+    moved = moved.select("sig", "fp", "n", F.posexplode("first").alias("at", "tok"))
+    moved = moved.select("tok", "sig", "fp", "n", (F.col("n") - F.col("at")).alias("left"))
+    return materialize(least.join(_few(touched), "sig", "left_anti").select(*moved.columns).unionAll(moved))
+
+
+def _proposed(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """(a, b): sets of a shard within the radius whose sizes and places leave room for the share.
+
+    rows: keys, sig, fp, n, left, root, own (part of the tree), asks (searches it).
+    """
 
-
-def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Rows of x and y with one shingle whose sizes and places leave room for the share."""
-    x, y = x.alias("x"), y.alias("y")
-    room = 9 * F.least("x.left", "y.left") >= 4 * (F.col("x.n") + F.col("y.n"))
-    return x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.sig") != F.col("y.sig")) & room)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, shard in whole_shards(batches, keys):
+            sig, fp, n, left, root = (table.column(c).to_numpy() for c in ("sig", "fp", "n", "left", "root"))
+            fp = fp.view(np.uint64)
+            own, asks = (table.column(c).to_numpy() for c in ("own", "asks"))
+            inside = np.flatnonzero(own)
+            if not len(inside):
+                continue
+            # one node for members of a shard with one fingerprint; they follow each other
+            new = np.r_[True, (shard[inside][1:] != shard[inside][:-1]) | (fp[inside][1:] != fp[inside][:-1])]
+            begin = np.flatnonzero(new)
+            size = np.diff(np.r_[begin, len(inside)])
+            nodes = inside[begin]
+            forest = BKForest(shard[nodes], fp[nodes])
+            of_root = shard[nodes][forest.roots]
+            who = np.flatnonzero(asks & np.isin(shard, of_root))
+            for at in range(0, len(who), 4096):
+                part = who[at : at + 4096]
+                start = forest.roots[np.searchsorted(of_root, shard[part])]
+                for q, node in forest.search(fp[part], start, radius):
+                    many = size[node]
+                    x = np.repeat(part[q], many)
+                    y = inside[np.repeat(begin[node] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+                    ok = (root[x] != root[y]) & (9 * np.minimum(left[x], left[y]) >= 4 * (n[x] + n[y]))
+                    # members that both search are met twice
+                    ok &= ~(asks[y] & (sig[x] > sig[y]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[x], sig[y])[ok]), pa.array(np.maximum(sig[x], sig[y])[ok])], ["a", "b"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of the pairs with a share of 0.8 or more."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     met = materialize(pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct())
-    some = materialize(sets.join(met, "sig", "left_semi").dropDuplicates(["sig"]))
+    some = materialize(sets.join(_few(met), "sig", "left_semi").dropDuplicates(["sig"]).select("sig", "tokens"))
     x, y = (some.select(F.col("sig").alias(k), F.col("tokens").alias(f"of_{k}")) for k in "ab")
     both = 9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.size("of_a") + F.size("of_b"))
     return materialize(pairs.join(x, "a").join(y, "b").where(both).select("a", "b"))
 
 
-def links(sets: DataFrame, cap: int = CAP) -> DataFrame:
-    """Links (a, b) of sets (sig, tokens; equal ones may be repeated) that span all components."""
+def links(sets: DataFrame, cap: int = CAP, radius: int = RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:
+    """Links (a, b) of sets (sig, fp, tokens; equal ones may be repeated) that span all components."""
     each = _prefixes(sets, cap)
-    ends = lambda df: df.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
-    big = materialize(each.groupBy("tok").agg(F.count("*").alias("of"), F.min("sig").alias("least")).where(F.col("of") > cap).drop("of"))
+    yes, no = F.lit(True), F.lit(False)
+    sizes = materialize(each.groupBy("tok").agg(F.count("*").alias("of"), F.min("sig").alias("least")).where(F.col("of") > 1))
+    big = materialize(sizes.where(F.col("of") > cap))
+    # shingles of one set propose nothing
+    small = each.join(sizes.where(F.col("of") <= cap).select("tok"), "tok", "left_semi")
+    small = _proposed(small.select("tok", "sig", "fp", "n", "left", F.col("sig").alias("root"), yes.alias("own"), yes.alias("asks")), ["tok"], radius)
     if big.isEmpty():
-        return _verified(ends(_meet(each, each).where("x.sig < y.sig")), sets)
-    small = each.join(big, "tok", "left_anti")
-    crowd = materialize(each.join(big, "tok"))
+        return _verified(small, sets)
+    crowd = materialize(each.join(_few(big), "tok"))
     stars = crowd.where("sig <> least").select(F.col("sig").alias("a"), F.col("least").alias("b"))
-    found = _verified(ends(_meet(small, small).where("x.sig < y.sig")).unionAll(stars), sets)
+    found = _verified(small.unionAll(stars), sets)
     root = connected_components(found)
     of = lambda k: root.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
     crowd = crowd.join(of("sig"), "sig", "left").join(of("least"), "least", "left")
-    crowd = materialize(crowd.select("tok", "sig", "n", "left", F.coalesce("sig_root", "sig").alias("root"), F.coalesce("least_root", "least").alias("to")))
-    rest = _meet(crowd.where("root <> to"), crowd).where("x.root <> y.root")
-    return found.unionAll(_verified(ends(rest), sets))
+    trees = F.ceil(F.col("of") / max_shard).cast("int")
+    crowd = crowd.select("tok", "sig", "fp", "n", "left", F.coalesce("sig_root", "sig").alias("root"), F.coalesce("least_root", "least").alias("to"), trees.alias("trees"))
+    crowd = materialize(crowd)
+    own = crowd.select("tok", F.pmod(F.xxhash64("sig"), F.col("trees")).cast("int").alias("tree"), "sig", "fp", "n", "left", "root", yes.alias("own"), no.alias("asks"))
+    visits = crowd.where("root <> to").select("tok", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"), "sig", "fp", "n", "left", "root", no.alias("own"), yes.alias("asks"))
+    return found.unionAll(_verified(_proposed(own.unionAll(visits), ["tok", "tree"], radius), sets))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, cap: int = CAP) -> DataFrame:
-    """One row for each document: doc_id, sig, component_id."""
+def verified_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
+    """One row for each document: doc_id, fp, sig (of its set), component_id."""
     each = materialize(shingle_sets(docs, doc_id, text, shingle))
-    joined = connected_components(links(each.select("sig", "tokens"), cap))
-    named = each.select("id", "sig").join(joined, F.col("sig") == F.col("node"), "left").select("id", "sig", F.coalesce("root", "sig").alias("root"))
+    joined = connected_components(links(each.select("sig", "fp", "tokens"), cap, radius))
+    named = each.select("id", "fp", "sig").join(joined, F.col("sig") == F.col("node"), "left").select("id", "fp", "sig", F.coalesce("root", "sig").alias("root"))
     named = materialize(named)
     least = materialize(named.groupBy("root").agg(F.min("id").alias("component_id")))
-    return named.join(least, "root").select(F.col("id").alias(doc_id), "sig", "component_id")
+    return named.join(least, "root").select(F.col("id").alias(doc_id), "fp", "sig", "component_id")

@@ -45,22 +45,32 @@ PAIRS = 1 << 22
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of a text's word shingles in order, repeats included (fewer words: of all of them; none: empty)."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     first, last = (ends - size)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    hashed, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        got = [hashed(joined[i:j], SEED) for i, j in zip(first[at : at + BLOCK], last[at : at + BLOCK])]
-        bits = np.unpackbits(np.array(got, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    hashed = xxhash.xxh64_intdigest
+    return np.fromiter((hashed(joined[i:j], SEED) for i, j in zip(first, last)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -171,37 +181,41 @@ def shard_links(shard: np.ndarray, fp: np.ndarray, own: np.ndarray, radius: int)
     return linked, label[linked]
 
 
+def whole_shards(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole shards, about BLOCK rows each, with the shard's number of each row; rows come sorted by ``keys``."""
+
+    def numbers(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        for k in keys:
+            c = table.column(k).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return np.cumsum(new)
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        # more than one shard is held
+        if n >= BLOCK and any(held[0].column(k)[0] != held[-1].column(k)[-1] for k in keys):
+            table = pa.Table.from_batches(held)
+            shard = numbers(table)
+            upto = int(np.searchsorted(shard, shard[-1]))
+            yield table.slice(0, upto), shard[:upto]
+            held = table.slice(upto).combine_chunks().to_batches()
+            n = sum(x.num_rows for x in held)
+    if n:
+        table = pa.Table.from_batches(held)
+        yield table, numbers(table)
+
+
 def _links(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
     """(a, b) from rows (keys, fp, own); shards are the rows with equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(held: list[pa.RecordBatch], last: bool):
-            table = pa.Table.from_batches(held)
-            cols = [table.column(k).to_numpy() for k in keys]
-            new = np.zeros(table.num_rows, bool)
-            for c in cols:
-                new[1:] |= c[1:] != c[:-1]
-            upto = table.num_rows if last or not new.any() else int(np.flatnonzero(new)[-1])
-            fp = table.column("fp").to_numpy()[:upto]
-            x, y = shard_links(np.cumsum(new)[:upto], fp.view(np.uint64), table.column("own").to_numpy(zero_copy_only=False)[:upto], radius)
-            rest = table.slice(upto).combine_chunks().to_batches()
-            return pa.RecordBatch.from_arrays([pa.array(fp[x]), pa.array(fp[y])], ["a", "b"]), rest, bool(new.any())
-
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= BLOCK:
-                out, rest, more = solve(held, False) if _ends(held, keys) else (None, held, False)
-                if out is not None:
-                    held, n = rest, sum(x.num_rows for x in rest)
-                    yield out
-        if held:
-            yield solve(held, True)[0]
-
-    def _ends(held: list[pa.RecordBatch], keys: list[str]) -> bool:
-        """Whether more than one shard is held."""
-        return any(held[0].column(k)[0] != held[-1].column(k)[-1] for k in keys)
+        for table, shard in whole_shards(batches, keys):
+            fp = table.column("fp").to_numpy()
+            x, y = shard_links(shard, fp.view(np.uint64), table.column("own").to_numpy(), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[x]), pa.array(fp[y])], ["a", "b"])
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "a long, b long")
 
@@ -243,8 +257,18 @@ def near_duplicates(
     shingle: int = SHINGLE,
     radius: int = RADIUS,
     max_shard: int = MAX_SHARD,
+    verify: bool = False,
 ) -> DataFrame:
-    """One row for each document: doc_id, fp (signed long), component_id."""
+    """One row for each document: doc_id, fp (signed long), component_id.
+
+    With ``verify`` the trees only propose pairs: shards are the texts that share
+    one of their first shingles, and those found within the radius are linked if
+    their sets of shingles share 0.8 or more (``near_sets``).
+    """
+    if verify:
+        from .near_sets import verified_duplicates
+
+        return verified_duplicates(docs, doc_id, text, shingle, radius)
     fps = materialize(fingerprints(docs, doc_id, text, shingle))
     distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")))
     joined = connected_components(links(distinct, radius, max_shard))

@@ -48,13 +48,13 @@ def crowd():
 @pytest.mark.parametrize("cap", [1, 3, 32])
 def test_all_pairs(spark, cap):
     given = crowd()
-    got = near_sets.near_duplicates(spark.createDataFrame(given, "doc_id long, text string"), cap=cap)
+    got = near_sets.verified_duplicates(spark.createDataFrame(given, "doc_id long, text string"), cap=cap)
     assert {r.doc_id: r.component_id for r in got.collect()} == plain_least(given)
 
 
 def test_whole_table(spark, sf):
     given = [(d, t) for d, t in texts(sf) if t is None or t.isascii()]
-    got = near_sets.near_duplicates(spark.createDataFrame(given, "doc_id long, text string"))
+    got = near_sets.verified_duplicates(spark.createDataFrame(given, "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in got.collect()} == plain_least(given)
 
 
@@ -68,7 +68,7 @@ def test_stage_drops_edited_copies(spark, sf):
 
 def test_edges(spark):
     rows = [(None, "a b c d e f"), (5, "A b c d e f"), (6, None), (7, ""), (8, "a b"), (None, "x")]
-    got = near_sets.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = near_sets.verified_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in got.collect() if r.component_id) == [(False, 5, 5), (False, 6, 6), (False, 7, 6), (False, 8, 8), (True, 0, 5)]
-    assert near_sets.near_duplicates(spark.createDataFrame(EDGE, "doc_id long, text string")).count() == len(EDGE)
-    assert near_sets.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert near_sets.verified_duplicates(spark.createDataFrame(EDGE, "doc_id long, text string")).count() == len(EDGE)
+    assert near_sets.verified_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
