@@ -72,3 +72,14 @@ def test_edges(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in got.collect() if r.component_id) == [(False, 5, 5), (False, 6, 6), (False, 7, 6), (False, 8, 8), (True, 0, 5)]
     assert near_sets.verified_duplicates(spark.createDataFrame(EDGE, "doc_id long, text string")).count() == len(EDGE)
     assert near_sets.verified_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_long_path_takes_few_rounds(spark):
+    from pyspark.sql import functions as F
+
+    from lattica.llm.common import materialize
+    from lattica.llm.components import connected_components, contractions
+
+    path = materialize(spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert len(contractions(path)) <= 10
+    assert {r.root for r in connected_components(path).collect()} == {0}
