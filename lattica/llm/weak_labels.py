@@ -51,10 +51,11 @@ SAMPLE = 3000
 BITS = 18
 SEED = 42
 #: Rejected from here on; a text without any known sign scores about one half, as both classes weigh alike.
-THRESHOLD = 0.6
-#: Documents that must hold a bucket, and how telling it must be: quality shows in common signs, toxicity in rare words.
-TRAINING = {"low_quality": (20, 1.0), "toxic": (3, 0.5)}
-MEMO = 1 << 17
+THRESHOLD = 0.55
+#: Share of the sample that must hold a bucket (three documents at least), and how telling it must be.
+#: Quality shows in common signs, toxicity in rare words.
+TRAINING = {"low_quality": (1 / 150, 1.0), "toxic": (0, 0.5)}
+MEMO = 1 << 18
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that serve as features.
 STARTS = (4, 6)
@@ -67,12 +68,20 @@ def starts_of(letters: str) -> list[str]:
     return [letters[:n] for n in STARTS if len(letters) > n]
 
 
+def letters_of(word: str) -> list[str]:
+    """The runs of letters of a word, in lower case."""
+    word = word.lower()
+    return [word] if word.isalpha() else _LETTERS.findall(word)
+
+
 def word_features(word: str) -> list[str]:
     """The letters of a word, whole and their beginnings."""
     found = []
-    for letters in _LETTERS.findall(word.lower()):
+    for letters in letters_of(word):
         found.append("w:" + letters)
-        found.extend(f"{len(x)}:{x}" for x in starts_of(letters))
+        for n in STARTS:
+            if len(letters) > n:
+                found.append(f"{n}:{letters[:n]}")
     return found
 
 
@@ -82,7 +91,13 @@ _RUN = re.compile(r"(.)\1+", re.DOTALL)
 
 def features_of(word: str) -> list[str]:
     """All features of a word: its letters, their beginnings, and its shape (runs of a kind count once)."""
-    return [*word_features(word), "s:" + _RUN.sub(r"\1", word[:64].translate(_SHAPE))]
+    if word.isalpha() and word.isascii():
+        shape = "a" if word.islower() else "A" if word.isupper() else "Aa" if word.istitle() else None
+    else:
+        shape = None
+    found = word_features(word)
+    found.append("s:" + (shape or _RUN.sub(r"\1", word[:64].translate(_SHAPE))))
+    return found
 
 
 class Measures:
@@ -112,16 +127,19 @@ def bucket(name: str, bits: int) -> int:
 
 
 class Scorer:
-    """Hashed linear scorer: sums the weights of a text's measures and distinct words for both tasks."""
+    """Hashed linear scorer: sums the weights of a text's distinct buckets for both tasks."""
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray, bits: int) -> None:
-        self.weights, self.bias, self.bits = weights, bias, bits
+        self.weights, self.bias, self.bits, self.mask = weights, bias, bits, (1 << bits) - 1
         #: both tasks' weights in one number, real part and imaginary part; most buckets weigh nothing
         self.both = {int(i): complex(*map(float, weights[:, i])) for i in np.flatnonzero(weights.any(axis=0))}
-        self.memo: dict[str, complex] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
-    def word(self, word: str) -> complex:
-        got = sum((self.both.get(bucket(x, self.bits), 0j) for x in features_of(word)), 0j)
+    def word(self, word: str) -> tuple[int, ...]:
+        """The buckets of a word that weigh anything."""
+        hashed, mask, known = xxhash.xxh32_intdigest, self.mask, self.both
+        found = (hashed(x.encode("utf-8", "surrogatepass"), SEED) & mask for x in features_of(word))
+        got = tuple(at for at in found if at in known)
         if len(word) <= 64:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
@@ -131,11 +149,15 @@ class Scorer:
     def probabilities(self, text: str | None) -> tuple[float, float]:
         """(of low quality, toxic)"""
         m = Measures(text or "")
-        score = sum((self.both.get(bucket(x, self.bits), 0j) for x in m.features()), complex(*map(float, self.bias)))
+        at = {i for x in m.features() if (i := bucket(x, self.bits)) in self.both}
         known = self.memo.get
         for word in m.distinct:
             got = known(word)
-            score += self.word(word) if got is None else got
+            if got is None:
+                got = self.word(word)
+            if got:
+                at.update(got)
+        score = sum(map(self.both.__getitem__, at), complex(*map(float, self.bias)))
         return tuple(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in (score.real, score.imag))
 
 
@@ -145,11 +167,12 @@ def buckets_of(text: str, bits: int) -> list[int]:
     return list({bucket(x, bits) for x in m.features()}.union(bucket(x, bits) for w in m.distinct for x in features_of(w)))
 
 
-def fit_linear(row: np.ndarray, at: np.ndarray, target: np.ndarray, bits: int, least: int = 3, strength: float = 0.5, rounds: int = 120) -> tuple[np.ndarray, float]:
+def fit_linear(row: np.ndarray, at: np.ndarray, target: np.ndarray, bits: int, least: float = 0, strength: float = 0.5, rounds: int = 120) -> tuple[np.ndarray, float]:
     """Logistic regression by gradient steps over a sparse 0/1 matrix (row, bucket); both classes weigh alike.
 
     Columns are scaled by their smoothed log ratio between the classes, so that
-    telling buckets learn first; those of fewer than ``least`` documents, or
+    telling buckets learn first; those of fewer than a share
+    ``least`` of the documents (and than three), or
     whose log ratio is within ``strength``, keep weight zero.
     target: the posterior of being bad.
     """
@@ -160,7 +183,7 @@ def fit_linear(row: np.ndarray, at: np.ndarray, target: np.ndarray, bits: int, l
     n_bad = np.bincount(at, target[row], 1 << bits)
     n_good = np.bincount(at, minlength=1 << bits) - n_bad
     ratio = np.log((n_bad + 2 * share) / (n_good + 2 * (1 - share)) * (1 - share) / share)
-    use = np.flatnonzero((n_bad + n_good >= least) & (np.abs(ratio) > strength))
+    use = np.flatnonzero((n_bad + n_good >= max(3, least * len(target))) & (np.abs(ratio) > strength))
     place = np.full(1 << bits, -1, np.int32)
     place[use] = np.arange(len(use), dtype=np.int32)
     col = place[at]
@@ -187,6 +210,10 @@ QUALITY_LABELLERS = ("empty", "symbols", "capitals", "exclaims", "bars", "repeat
 TOXIC_LABELLERS = ("mined_words", "mined_starts", "density", "curated")
 #: Those that vote both ways; that they are silent says nothing.
 TWO_SIDED = {"mined_words", "mined_starts", "density", "curated"}
+#: Labellers that look at the same words count less each, as they err together.
+VOICE = {"mined_words": 0.5, "mined_starts": 0.5, "density": 0.5}
+#: How often a labeller is believed to be right before the votes are seen; that weighs as much as its votes.
+BELIEF = {"curated": 0.998}
 
 
 def quality_votes(m: Measures) -> list[int]:
@@ -211,7 +238,7 @@ class Marks:
 
     def count(self, word: str) -> tuple[int, int] | bool:
         """(mined words, mined beginnings) among a word's letters, False if none."""
-        letters = _LETTERS.findall(word.lower())
+        letters = letters_of(word)
         got = sum(x in self.words for x in letters), sum(any(y in self.starts for y in starts_of(x)) for x in letters)
         if not any(got):
             got = False
@@ -249,9 +276,9 @@ class LabelModel:
     against a document as a hint, which settles which class is which.
     """
 
-    def __init__(self, votes: np.ndarray, counts: np.ndarray, two_sided: list[bool], rounds: int = 100) -> None:
+    def __init__(self, votes: np.ndarray, counts: np.ndarray, labellers: tuple[str, ...], rounds: int = 100) -> None:
         """votes: patterns by labellers of 1, 0, -1; counts: documents of each."""
-        self.two_sided = two_sided
+        self.voices = [VOICE.get(x, 1.0) for x in labellers]
         p = np.where((votes == 1).any(axis=1), 0.95, 0.02)
         for _ in range(rounds):
             #: the share of bad documents
@@ -259,9 +286,13 @@ class LabelModel:
             self.prior = min(max(self.prior, 1e-4), 1 - 1e-4)
             #: of each labeller: the chance of each outcome on bad and on good documents
             self.habits = []
-            for v, both in zip(votes.T, two_sided):
-                outcomes = (0, 1) if both else (-1, 0, 1)
-                seen = np.array([[(q * counts)[v == o].sum() + 0.5 for o in outcomes] for q in (p, 1 - p)])
+            for v, name in zip(votes.T, labellers):
+                outcomes = (0, 1) if name in TWO_SIDED else (-1, 0, 1)
+                seen = np.array([[(q * counts)[v == o].sum() for o in outcomes] for q in (p, 1 - p)])
+                before = np.full(seen.shape, 0.5)
+                if name in BELIEF:
+                    before += seen.sum(axis=1, keepdims=True) * [[1 - BELIEF[name], BELIEF[name]], [BELIEF[name], 1 - BELIEF[name]]]
+                seen += before
                 self.habits.append(dict(zip(outcomes, (seen / seen.sum(axis=1, keepdims=True)).T.tolist())))
             p = self.posterior(votes)
 
@@ -277,9 +308,9 @@ class LabelModel:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """The chance of being bad of each pattern."""
         odds = np.full(len(votes), math.log(self.prior / (1 - self.prior)))
-        for v, habit in zip(votes.T, self.habits):
+        for v, habit, voice in zip(votes.T, self.habits, self.voices):
             for outcome, (bad, good) in habit.items():
-                odds[v == outcome] += math.log(bad / good)
+                odds[v == outcome] += voice * math.log(bad / good)
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -368,7 +399,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text:
     for task, labellers in zip(TASKS, (QUALITY_LABELLERS, TOXIC_LABELLERS)):
         got = votes.groupBy(task).count().collect()  # at most 3 ** 8 rows
         patterns = np.array([["01-".index(c) if c != "-" else -1 for c in r[0]] for r in got])
-        models[task] = LabelModel(patterns, np.array([r[1] for r in got], float), [x in TWO_SIDED for x in labellers]) if got else None
+        models[task] = LabelModel(patterns, np.array([r[1] for r in got], float), labellers) if got else None
         tables[task] = dict(zip((r[0] for r in got), models[task].posterior(patterns))) if got else {}
     chosen = _sampled(votes, n, sample)
 

@@ -31,7 +31,7 @@ def test_votes():
     assert W.toxic_votes(W.Measures("scum"), W.Marks(set(), set())) == [-1, -1, -1]
 
 
-def test_model_recovers_habits_and_share():
+def test_model_recovers_habits_and_share(monkeypatch):
     draw = np.random.default_rng(3)
     n, share = 40000, 0.2
     bad = draw.random(n) < share
@@ -40,7 +40,8 @@ def test_model_recovers_habits_and_share():
     votes.append(np.where(bad & (draw.random(n) < 0.6), 1, -1))  # knows one sign only
     counted = Counter(map(tuple, np.array(votes, int).T.tolist()))
     patterns, counts = np.array(list(counted)), np.array(list(counted.values()), float)
-    model = W.LabelModel(patterns, counts, [True, True, True, False])
+    monkeypatch.setattr(W, "TWO_SIDED", {"a", "b", "c"})
+    model = W.LabelModel(patterns, counts, ("a", "b", "c", "d"))
     assert abs(model.prior - share) < 0.02
     assert all(abs(a - r) < 0.02 for a, r in zip(model.accuracy, right))
     assert abs(model.habits[3][1][0] - 0.6) < 0.05 and model.habits[3][1][1] < 0.01
@@ -71,7 +72,8 @@ def test_scores_are_sums():
     scorer = W.Scorer(weights, np.array([0.1, -0.2]), 10)
     for text in ["Some words, and some MORE words!", "", "x " * 50, "a|b|c 123"]:
         m = W.Measures(text)
-        names = m.features() + [x for w in m.distinct for x in W.features_of(w)]
-        want = [sum(float(weights[i, W.bucket(x, 10)]) for x in names) + (0.1, -0.2)[i] for i in (0, 1)]
+        at = {W.bucket(x, 10) for x in m.features() + [x for w in m.distinct for x in W.features_of(w)]}
+        assert at == set(W.buckets_of(text, 10))
+        want = [sum(float(weights[i, b]) for b in at) + (0.1, -0.2)[i] for i in (0, 1)]
         for got, z in zip(scorer.probabilities(text), want):
             assert abs(got - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
