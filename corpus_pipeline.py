@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe, decontaminate, line_templates, simhash, weak_labels
-from lattica.llm.common import materialize, table
+from lattica.llm.common import materialize, scratch, table
 
 #: Bits within which the trees propose near-duplicates.
 RADIUS = 20
@@ -96,5 +96,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch() as own:
+            docs = own.keep(materialize(stage(spark, docs, sf_dir)))
     return STAGES[-1][1](spark, docs, sf_dir)

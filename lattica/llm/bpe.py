@@ -52,7 +52,7 @@ MODEL = "word_bpe_49k.json"
 #: Bytes of a text read at a time.
 PIECE = 1 << 16
 #: Words remembered, and their greatest length; characters of one word that are held before it is streamed.
-MEMO, MEMO_CHARS, LONG = 1 << 18, 48, 1 << 12
+MEMO, MEMO_CHARS, LONG = 1 << 17, 48, 1 << 12
 #: Unicode's white space.
 _SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 

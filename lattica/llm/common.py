@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +23,13 @@ def fold(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, one machine) a temporary folder
-    is taken, once a session.
+    Only where that setting is missing on one machine (tests) a temporary folder
+    is taken, once a session; on a cluster its absence is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lattica.shared.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("lattica.shared.dir", named)
     return named.rstrip("/")
@@ -40,7 +44,46 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy._copy = path
+    if _open:
+        _open[-1].made.append((spark, path))
+    return copy
+
+
+class Scratch:
+    """What ``scratch`` gives: copies that outlive it are named with ``keep``."""
+
+    def __init__(self) -> None:
+        self.made: list[tuple[SparkSession, str]] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made = [x for x in self.made if x[1] != df._copy]
+        if _open and _open[-1] is not self:
+            _open[-1].made.append((df.sparkSession, df._copy))
+        elif len(_open) > 1:
+            _open[-2].made.append((df.sparkSession, df._copy))
+        return df
+
+
+_open: list[Scratch] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Copies that ``materialize`` makes inside are deleted at the end, but for those kept.
+
+    What is kept has been written, so that no lineage goes back to a deleted copy.
+    """
+    own = Scratch()
+    _open.append(own)
+    try:
+        yield own
+    finally:
+        _open.remove(own)
+        for spark, path in own.made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bytes_of(df: DataFrame) -> int:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 
 def contractions(edges: DataFrame) -> list[DataFrame]:
@@ -42,11 +42,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Loops, repeats and edges with a null end are ignored; an empty table gives
     no rows.
     """
+    with scratch() as own:
+        return own.keep(_components(edges, a, b))
+
+
+def _components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
     e = materialize(edges.sparkSession.createDataFrame([], e.schema).union(e))
     rounds = contractions(e)
     if not rounds:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return materialize(e.select(F.col("a").alias("node"), F.col("b").alias("root")))
     done = rounds[0].select(F.col("x").alias("node"), F.col("px").alias("root"))
     for p in rounds[1:]:
         done = materialize(done.join(p, done.root == p.x, "left").select("node", F.coalesce("px", "root").alias("root")))

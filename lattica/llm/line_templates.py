@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, scratch
 
 DEPTH, SIMILARITY = 4, 0.8
 MIN_WORDS, LONG_WORDS = 5, 50
@@ -286,7 +286,6 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **l
     """``docs`` with the cleaned text, n_lines and n_dropped; a document that loses all its lines is left out."""
     docs = docs.drop("n_lines", "n_dropped", "_drop")
     min_words = limits.get("min_words", MIN_WORDS)
-    found = materialize(templates(docs, doc_id, text, **limits))
     id_type = docs.schema[doc_id].dataType
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,8 +299,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **l
 
     in_docs = docs.select(doc_id, text).mapInArrow(hashes, T.StructType([T.StructField("of", id_type), T.StructField("line", T.LongType())]))
     # both joins are merges at every size: neither side has a bound
-    hit = in_docs.join(found.select("line", "first").hint("merge"), "line").where(~F.col("of").eqNullSafe(F.col("first")))
-    drops = materialize(hit.groupBy("of").agg(F.collect_set("line").alias("_drop")))
+    with scratch() as own:
+        found = materialize(templates(docs, doc_id, text, **limits))
+        hit = in_docs.join(found.select("line", "first").hint("merge"), "line").where(~F.col("of").eqNullSafe(F.col("first")))
+        drops = own.keep(materialize(hit.groupBy("of").agg(F.collect_set("line").alias("_drop"))))
     names = docs.columns
     marked = docs.join(drops.hint("merge"), docs[doc_id].eqNullSafe(drops["of"]), "left").select(*(docs[c] for c in names), "_drop")
     at, at_drop = names.index(text), len(names)

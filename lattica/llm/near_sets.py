@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, materialize
+from .common import bytes_of, materialize, scratch
 from .components import connected_components
 from .simhash import MAX_SHARD, SEED, BKForest, majority, shingle_hashes, whole_shards
 
@@ -170,9 +170,15 @@ def links(sets: DataFrame, cap: int = CAP, radius: int = RADIUS, max_shard: int
 
 def verified_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
     """One row for each document: doc_id, fp, sig (of its set), component_id."""
+    with scratch() as own:
+        named, least = map(own.keep, _named(docs, doc_id, text, shingle, radius, cap))
+    return named.join(least, "root").select(F.col("id").alias(doc_id), "fp", "sig", "component_id")
+
+
+def _named(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp, sig, root) of each row, and (root, component_id)."""
     each = materialize(shingle_sets(docs, doc_id, text, shingle))
     joined = connected_components(links(each.select("sig", "fp", "tokens"), cap, radius))
     named = each.select("id", "fp", "sig").join(joined, F.col("sig") == F.col("node"), "left").select("id", "fp", "sig", F.coalesce("root", "sig").alias("root"))
     named = materialize(named)
-    least = materialize(named.groupBy("root").agg(F.min("id").alias("component_id")))
-    return named.join(least, "root").select(F.col("id").alias(doc_id), "fp", "sig", "component_id")
+    return named, materialize(named.groupBy("root").agg(F.min("id").alias("component_id")))

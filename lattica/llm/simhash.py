@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 from .components import connected_components
 
 SHINGLE = 4
@@ -270,13 +270,14 @@ def near_duplicates(
 
         return verified_duplicates(docs, doc_id, text, shingle, radius)
     fps = materialize(fingerprints(docs, doc_id, text, shingle))
-    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")))
-    joined = connected_components(links(distinct, radius, max_shard))
-    named = distinct.join(joined, distinct.fp == joined.node, "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("root")
-    )
-    named = materialize(named)
-    least = materialize(named.groupBy("root").agg(F.min("rep").alias("component_id")))
+    with scratch() as own:
+        distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")))
+        joined = connected_components(links(distinct, radius, max_shard))
+        named = distinct.join(joined, distinct.fp == joined.node, "left").select(
+            "fp", "rep", F.coalesce("root", "fp").alias("root")
+        )
+        named = own.keep(materialize(named))
+        least = own.keep(materialize(named.groupBy("root").agg(F.min("rep").alias("component_id"))))
     named = named.join(least, "root").select(F.col("fp").alias("of"), "component_id")
     return fps.join(named, fps.fp == named.of).select(F.col("id").alias(doc_id), "fp", "component_id")
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 TASKS = ("low_quality", "toxic")
 #: Documents read to mine words, and to train, at most.
@@ -55,7 +55,7 @@ THRESHOLD = 0.55
 #: Share of the sample that must hold a bucket (three documents at least), and how telling it must be.
 #: Quality shows in common signs, toxicity in rare words.
 TRAINING = {"low_quality": (1 / 150, 1.0), "toxic": (0, 0.5)}
-MEMO = 1 << 18
+MEMO = 1 << 16
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that serve as features.
 STARTS = (4, 6)
@@ -365,6 +365,11 @@ def _mined(known: DataFrame) -> tuple[set[str], set[str]]:
 
 def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS) -> Classifier:
     """Votes and counts over all of ``docs``; words mined and weights trained on at most ``sample`` rows each."""
+    with scratch():
+        return _fitted(docs, labels, doc_id, text, sample, bits)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame | None, doc_id: str, text: str, sample: int, bits: int) -> Classifier:
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
     spark = docs.sparkSession
     if labels is None:
