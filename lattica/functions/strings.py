@@ -222,9 +222,9 @@ def _trigram(t):
     return t.nation.select("n_nationkey", F.round(similarity(F.col("n_name"), F.lit("nation")), 9).alias("s"))
 
 
-@R.frame("F_str_unaccent", "SELECT doc_id, strip_accents(text) AS t FROM documents WHERE doc_id < 100")
+@R.frame("F_str_unaccent", "SELECT doc_id, strip_accents(text) AS t FROM documents")
 def _unaccent(t):
-    return t.documents.where("doc_id < 100").select("doc_id", unaccent("text").alias("t"))
+    return t.documents.select("doc_id", unaccent("text").alias("t"))
 
 
 @R.frame("F_str_soundex", None)

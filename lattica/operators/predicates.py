@@ -56,7 +56,7 @@ def similar_to_regex(pattern: str, escape: str = "\\") -> str:
     return "(?s)^(?:" + "".join(out) + ")$"
 
 
-R.sql("PR1_projection", "SELECT l_orderkey + l_partkey AS s, l_quantity * 2 AS q2, l_linenumber FROM lineitem WHERE l_orderkey < 50")
+R.sql("PR1_projection", "SELECT l_orderkey + l_partkey AS s, l_quantity * 2 AS q2, l_linenumber FROM lineitem")
 R.sql(
     "PR2_lockstep_sets",
     """SELECT r_regionkey, z['0'] AS a, z['1'] AS b FROM region

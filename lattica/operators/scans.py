@@ -104,11 +104,11 @@ def _view(t):
 
 @R.frame(
     "SK5_upsert",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey <= 200
-       UNION ALL SELECT o_orderkey + 10000000, 'Z' FROM orders WHERE o_orderkey <= 200 AND o_orderkey % 5 = 0""",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM orders
+       UNION ALL SELECT o_orderkey + 10000000, 'Z' FROM orders WHERE o_orderkey % 5 = 0""",
 )
 def _upsert(t):
-    target = t.orders.where("o_orderkey <= 200").select("o_orderkey", "o_orderstatus")
+    target = t.orders.select("o_orderkey", "o_orderstatus")
     changed = target.where("o_orderkey % 5 = 0").select("o_orderkey", F.lit("Z").alias("o_orderstatus"))
     return io.upsert(target, changed.unionAll(changed.withColumn("o_orderkey", F.col("o_orderkey") + 10000000)), ["o_orderkey"])
 

@@ -86,7 +86,7 @@ R.sql("O1_sort", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal D
 R.sql("O2_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 R.sql("O3_limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 35")
 R.sql("O4_unique", "SELECT DISTINCT l_shipdate FROM lineitem")
-R.sql("O6_merge_append", "SELECT k FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey AS k FROM supplier) t ORDER BY k LIMIT 40")
+R.sql("O6_merge_append", "SELECT k FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey AS k FROM supplier) t ORDER BY k")
 R.sql("O7_material", "WITH m AS (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY n_regionkey) SELECT a.k, a.n + b.n AS n FROM m a JOIN m b ON a.k = b.k")
 R.sql("O9_collate", "SELECT n_name FROM nation WHERE n_name COLLATE UTF8_LCASE >= 'm'", "SELECT n_name FROM nation WHERE lower(n_name) >= 'm'")
 R.sql("SO1_union_all", "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey AS k FROM region")

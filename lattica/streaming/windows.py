@@ -38,13 +38,15 @@ def deduplicate(events: DataFrame, keys: list[str], time: str = "ts", late: str
     return events.dropDuplicates(keys)
 
 
-def upsert_feed(changes: DataFrame, target_path: str, key: list[str], checkpoint: str):
-    """Apply each micro-batch of a change stream to a versioned Parquet table; the last row of a key wins."""
+def upsert_feed(changes: DataFrame, target_path: str, key: list[str], checkpoint: str, order: str):
+    """Apply each micro-batch of a change stream to a versioned Parquet table; the row of a key that is greatest by ``order`` wins, null orders last of all."""
     spark = changes.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
         old = spark.read.parquet(f"{target_path}/v{number - 1}") if number else spark.createDataFrame([], batch.schema)
-        io.upsert(old, batch.dropDuplicates(key), key).write.mode("overwrite").parquet(f"{target_path}/v{number}")
+        row = F.struct(F.col(order).isNotNull().alias("_known"), F.col(order).alias("_order"), F.struct(*batch.columns).alias("_row"))
+        last = batch.groupBy(*key).agg(F.max(row).alias("_last")).select("_last._row.*")
+        io.upsert(old, last, key).write.mode("overwrite").parquet(f"{target_path}/v{number}")
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
