@@ -48,6 +48,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MODEL = "word_bpe_49k.json"
 #: Bytes of a text read at a time.
 PIECE = 1 << 16
@@ -439,10 +441,11 @@ def _mapped(docs, doc_id, text, model, one, columns) -> DataFrame:
             got = [one(bpe, t) for t in pieces(batch.column(1))]
             made = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names)
+        bpe.memo.clear()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     names = ["id", "n_tokens", *(c.split(" ")[0] for c in columns.split(", "))]
-    made = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, n_tokens long, {columns}")
+    made = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(tidy(run), f"id {kind}, n_tokens long, {columns}")
     return made.withColumnRenamed("id", doc_id)
 
 

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, scratch
+from .common import materialize, scratch, tidy
 
 DEPTH, SIMILARITY = 4, 0.8
 MIN_WORDS, LONG_WORDS = 5, 50
@@ -271,13 +271,13 @@ def templates(
                     [pa.array(leaves, pa.int64()), *(c.take(pa.array([0] * len(leaves))) for c in one.columns[1:])], batch.schema.names
                 )
 
-    lines = materialize(docs.select(doc_id, text).mapInArrow(unite, united))
+    lines = materialize(docs.select(doc_id, text).mapInArrow(tidy(unite), united))
     crowded = materialize(lines.groupBy("leaf").count().where(F.col("count") > leaf_lines).select("leaf"))
-    parsed = lambda df: df.repartition("leaf").sortWithinPartitions("leaf", "words").mapInArrow(parse, decided)
+    parsed = lambda df: df.repartition("leaf").sortWithinPartitions("leaf", "words").mapInArrow(tidy(parse), decided)
     if crowded.isEmpty():
         return parsed(lines)
     # there are fewer crowded leaves than lines by leaf_lines times
-    split = lines.join(crowded, "leaf", "left_semi").select(*united.names).mapInArrow(deal, united)
+    split = lines.join(crowded, "leaf", "left_semi").select(*united.names).mapInArrow(tidy(deal), united)
     both = parsed(lines.join(crowded, "leaf", "left_anti").select(*united.names).unionAll(split))
     return both.groupBy("line").agg(F.min(F.struct(F.col("first").isNotNull().alias("known"), "first", "template")).alias("x")).select("line", "x.first", "x.template")
 
@@ -297,7 +297,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **l
                 lines.extend(own)
             yield pa.RecordBatch.from_arrays([pa.array(of, batch.schema.field(0).type), pa.array(lines, pa.int64())], ["of", "line"])
 
-    in_docs = docs.select(doc_id, text).mapInArrow(hashes, T.StructType([T.StructField("of", id_type), T.StructField("line", T.LongType())]))
+    in_docs = docs.select(doc_id, text).mapInArrow(tidy(hashes), T.StructType([T.StructField("of", id_type), T.StructField("line", T.LongType())]))
     # both joins are merges at every size: neither side has a bound
     with scratch() as own:
         found = materialize(templates(docs, doc_id, text, **limits))
@@ -327,7 +327,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **l
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_lines", "n_dropped"]).filter(pa.array(keep))
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return marked.mapInArrow(clean, schema)
+    return marked.mapInArrow(tidy(clean), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, materialize, scratch
+from .common import bytes_of, materialize, scratch, tidy
 from .components import connected_components
 from .simhash import MAX_SHARD, SEED, BKForest, majority, shingle_hashes, whole_shards
 
@@ -67,7 +67,7 @@ def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, sig long, fp long, tokens array<long>")
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(tidy(run), f"id {kind}, sig long, fp long, tokens array<long>")
 
 
 def _few(keys: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def _proposed(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
                     ok &= ~(asks[y] & (sig[x] > sig[y]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[x], sig[y])[ok]), pa.array(np.maximum(sig[x], sig[y])[ok])], ["a", "b"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(tidy(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

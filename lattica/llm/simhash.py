@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import materialize, scratch, tidy
 from .components import connected_components
 
 SHINGLE = 4
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).mapInArrow(tidy(run), f"id {kind}, fp long")
 
 
 def block_masks(radius: int) -> list[int]:
@@ -217,7 +217,7 @@ def _links(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
             x, y = shard_links(shard, fp.view(np.uint64), table.column("own").to_numpy(), radius)
             yield pa.RecordBatch.from_arrays([pa.array(fp[x]), pa.array(fp[y])], ["a", "b"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(tidy(run), "a long, b long")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Characters of a chunk, and of the first overlap of two chunks.
@@ -140,7 +142,7 @@ def token_counts(
     kind = docs.schema[doc_id].dataType.simpleString()
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     counted = docs.select(F.col(doc_id).alias("id"), size.alias("n_bytes"), F.col(text).alias("t")).mapInArrow(
-        run, f"id {kind}, n_bytes long, n_tokens long"
+        tidy(run), f"id {kind}, n_bytes long, n_tokens long"
     )
     return counted.select(F.col("id").alias(doc_id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import materialize, scratch, tidy
 
 TASKS = ("low_quality", "toxic")
 #: Documents read to mine words, and to train, at most.
@@ -353,7 +353,7 @@ def _mined(known: DataFrame) -> tuple[set[str], set[str]]:
             arrays = [pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in (bad, good))]
             yield pa.RecordBatch.from_arrays(arrays, ["name", "bad", "good"])
 
-    counts = known.mapInArrow(count, "name string, bad long, good long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = known.mapInArrow(tidy(count), "name string, bad long, good long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = materialize(counts.where("name = '' or bad > 0"))
     total = counts.where("name = ''").first()
     if total is None or not total.bad:
@@ -392,7 +392,7 @@ def _fitted(docs: DataFrame, labels: DataFrame | None, doc_id: str, text: str, s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q, pa.string()), pa.array(x, pa.string())], ["id", "q", "x"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    votes = rows.mapInArrow(vote, f"id {kind}, q string, x string")
+    votes = rows.mapInArrow(tidy(vote), f"id {kind}, q string, x string")
     mark = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     votes = votes.join(curated, votes.id == curated.of, "left").select(
         "id", F.concat("q", mark("low_quality")).alias("low_quality"), F.concat("x", mark("toxic")).alias("toxic")
@@ -416,7 +416,7 @@ def _fitted(docs: DataFrame, labels: DataFrame | None, doc_id: str, text: str, s
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), made], ["low_quality", "toxic", "at"])
 
     train = rows.join(F.broadcast(chosen), "id").limit(sample).select("t", "low_quality", "toxic")
-    got = train.mapInArrow(featurize, "low_quality string, toxic string, at array<int>").toArrow()
+    got = train.mapInArrow(tidy(featurize), "low_quality string, toxic string, at array<int>").toArrow()
     weights, bias = np.zeros((2, 1 << bits), np.float32), np.zeros(2)
     if got.num_rows:
         held = got.column("at").combine_chunks()
@@ -448,7 +448,7 @@ def score(docs: DataFrame, classifier: Classifier, text: str = "text", threshold
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *own])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, p_low_quality double, p_toxic double, rejected boolean")
+    return docs.mapInArrow(tidy(run), f"{schema}, p_low_quality double, p_toxic double, rejected boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
