@@ -1,7 +1,7 @@
 """Exact top-k inner products by MaxScore over shards of postings.
 
 A vector's dimensions are its terms; a shard keeps for each term the postings
-(the rows with a non-zero value) and the least and largest value.  For a query
+(the rows and their values) and the least and largest value.  For a query
 these bound what each term can add to a score.  Terms are put in order of the
 spread of their bounds; the trailing ones whose bounds together stay under the
 query's running threshold are non-essential.  The essential postings are
@@ -18,9 +18,10 @@ window, which Spark limits before its exchange.
 
 Defined cases: vectors that are null or hold null or non-finite components take
 no part, neither as query nor as candidate; empty vectors score zero with every
-other; vectors of different lengths are padded with zeros; rows that repeat both
-id and vector count once; a row is not its own candidate, nor are rows that
-share its id; ties go to the smaller id; null ids take no part.
+other; vectors of different lengths are padded with zeros; repeated rows are
+candidates each, and query rows that share an id are ranked together; a row is not
+its own candidate, nor are rows that share its id; ties go to the smaller id; null
+ids take no part.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def top_k(
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = rows.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & finite)
     usable = usable.select(F.col(vec_id).cast("long").alias("vec_id"), integers(F.col(vector)).alias("v"), is_query.alias("asks"))
-    usable = materialize(usable.dropDuplicates(["vec_id", "v"]))
+    usable = materialize(usable)
     n, asked = usable.agg(F.count("*"), F.count_if("asks")).first()
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(asked / query_rows))
     part = lambda of, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(of)).cast("int")
