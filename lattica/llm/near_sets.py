@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, materialize, scratch, tidy
 from .components import connected_components
-from .simhash import MAX_SHARD, SEED, BKForest, majority, shingle_hashes, whole_shards
+from .simhash import MAX_SHARD, SEED, BKForest, blocks_of_queries, majority, shingle_hashes, whole_shards
 
 SHINGLE = 5
 #: Sets of a shard that are compared pair by pair; least shingles that name a set's shards; bits.
@@ -118,10 +118,11 @@ def _proposed(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
             forest = BKForest(shard[nodes], fp[nodes])
             of_root = shard[nodes][forest.roots]
             who = np.flatnonzero(asks & np.isin(shard, of_root))
-            for at in range(0, len(who), 4096):
-                part = who[at : at + 4096]
-                start = forest.roots[np.searchsorted(of_root, shard[part])]
-                for q, node in forest.search(fp[part], start, radius):
+            rank = np.searchsorted(of_root, shard[who])
+            members = np.bincount(np.searchsorted(of_root, shard[inside]), minlength=len(of_root))
+            for block in blocks_of_queries(members[rank]):
+                part = who[block]
+                for q, node in forest.search(fp[part], forest.roots[rank[block]], radius):
                     many = size[node]
                     x = np.repeat(part[q], many)
                     y = inside[np.repeat(begin[node] - np.cumsum(many) + many, many) + np.arange(many.sum())]

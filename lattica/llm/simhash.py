@@ -39,9 +39,9 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 MAX_SHARD = 4096
-#: Hashes counted, and tree nodes met, at a time.
+#: Hashes counted, and pairs of a query and a tree's member that may meet, at a time.
 BLOCK = 1 << 16
-PAIRS = 1 << 22
+PAIRS = 1 << 18
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -149,11 +149,11 @@ def _merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def _blocks(root_of: np.ndarray, sizes: np.ndarray) -> Iterator[slice]:
-    """Slices of queries whose shards have at most PAIRS nodes together (or one query)."""
+def blocks_of_queries(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of queries whose trees have at most PAIRS members together (or one query)."""
     work = np.cumsum(sizes)
     at = 0
-    while at < len(root_of):
+    while at < len(work):
         to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + PAIRS, "right")))
         yield slice(at, to)
         at = to
@@ -173,7 +173,7 @@ def shard_links(shard: np.ndarray, fp: np.ndarray, own: np.ndarray, radius: int)
     size = np.bincount(forest.root_of, minlength=len(inside))[root]
     label = np.arange(len(fp))
     some = np.flatnonzero((size > 1) | ~own)
-    for part in _blocks(root[some], size[some]):
+    for part in blocks_of_queries(size[some]):
         who = some[part]
         for q, node in forest.search(fp[who], root[who], radius):
             _merge(label, who[q], inside[node])
