@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -83,3 +84,19 @@ def test_a_long_path_takes_few_rounds(spark):
     path = materialize(spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
     assert len(contractions(path)) <= 10
     assert {r.root for r in connected_components(path).collect()} == {0}
+
+
+def test_marks_rule_out_no_pair_with_the_share():
+    rng = np.random.default_rng(5)
+    ruled = 0
+    for size in (1, 3, 9, 40, 150, 900, 5000):
+        for _ in range(60):
+            both = rng.integers(-(1 << 63), (1 << 63) - 1, 2 * size, dtype=np.int64)
+            cut = int(rng.integers(0, max(1, size // 5) + 1))
+            a, b = np.unique(both[:size]), np.unique(both[cut : size + cut])
+            marks = np.frombuffer(near_sets.mark(a) + near_sets.mark(b), np.uint64).reshape(2, -1)
+            may = near_sets.may_share(marks, np.array([len(a), len(b)]), np.array([0]), np.array([1]))[0]
+            share = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            assert may or share < 0.8
+            ruled += not may
+    assert ruled > 50
