@@ -43,11 +43,48 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, right_on: str, keys: l
 
 
 def nearest(points: DataFrame, distance: Column, k: int, per: list[str], tie: str) -> DataFrame:
-    """The k rows of least distance for each group, Spark limits them before its exchange."""
-    w = Window.partitionBy(*per).orderBy(distance, tie)
+    """The k rows of least distance for each group, nulls last; Spark limits them before its exchange."""
+    w = Window.partitionBy(*per).orderBy(distance.asc_nulls_last(), F.col(tie).asc_nulls_last())
     return points.withColumn("_d", distance).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
 
 
+def nearest_join(left: DataFrame, right: DataFrame, keys: tuple[str, str], values: tuple[str, str], k: int, per: str, tie: str) -> DataFrame:
+    """(per, tie) of the k right rows of an equal key whose value is nearest, for each ``per`` of the left rows.
+
+    Ties go to the smaller ``tie``; distances that are null come last, NaN before them.
+    Of right rows with one key and value only the k least ties count.  The distinct
+    values of a key are numbered in order, each left row finds its place among them, and
+    only the k places on either side and one more are joined.  Values that are null or
+    not finite are all equally far, so that k of each kind are joined to every left row.
+    Where rounding makes the place beyond as near as a row that was taken, that ``per``
+    is compared with all rows of its keys.
+    """
+    finite = lambda c: F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    least = lambda *by: F.row_number().over(Window.partitionBy("_key", *by).orderBy(F.col("_tie").asc_nulls_last()))
+    a = left.select(F.col(per).alias("_per"), F.col(keys[0]).alias("_key"), F.col(values[0]).alias("_s")).where("_key is not null")
+    b = right.select(F.col(keys[1]).alias("_key"), F.col(values[1]).alias("_v"), F.col(tie).alias("_tie")).where("_key is not null")
+    held = b.where(finite("_v")).withColumn("_n", least("_v")).where(F.col("_n") <= k)
+    held = held.withColumn("_place", F.dense_rank().over(Window.partitionBy("_key").orderBy("_v")))
+    placed = asof_join(a.where(finite("_s")), held.where("_n = 1").select("_key", "_v", "_place"), "_s", "_v", ["_key"], ["_place"])
+    steps = placed.select("_per", "_key", "_s", F.coalesce("_place", F.lit(0)).alias("_from"), F.explode(F.sequence(F.lit(-k), F.lit(k + 1))).alias("_step"))
+    steps = steps.withColumn("_place", F.col("_from") + F.col("_step"))
+    distance = F.abs(F.col("_s") - F.col("_v")).alias("_d")
+    beyond = F.col("_step").isin(-k, k + 1).alias("_beyond")
+    near = steps.join(held.select("_key", "_place", "_v", "_tie"), ["_key", "_place"]).select("_per", "_tie", distance, beyond)
+    kind = F.when(finite("_v"), "finite").otherwise(F.col("_v").cast("string"))
+    kinds = b.withColumn("_kind", kind).withColumn("_n", least("_kind")).where(F.col("_n") <= k)
+    far = a.join(kinds, "_key").where(~(finite("_s") & finite("_v"))).select("_per", "_tie", distance, F.lit(False).alias("_beyond"))
+    w = Window.partitionBy("_per")
+    ranked = near.unionAll(far).withColumn("_rank", F.row_number().over(w.orderBy(F.col("_d").asc_nulls_last(), F.col("_tie").asc_nulls_last())))
+    last = F.max(F.when(F.col("_rank") <= k, F.col("_d"))).over(w)
+    ranked = ranked.withColumn("_open", F.coalesce(F.min(F.when(F.col("_beyond"), F.col("_d"))).over(w) <= last, F.lit(False)))
+    open_ = ranked.where("_open").select(F.col("_per").alias("_of")).distinct()
+    rest = a.join(open_, F.col("_per").eqNullSafe(F.col("_of")), "left_semi").join(b, "_key")
+    rest = nearest(rest, F.abs(F.col("_s") - F.col("_v")), k, ["_per"], "_tie").select("_per", "_tie")
+    both = ranked.where(~F.col("_open") & (F.col("_rank") <= k)).select("_per", "_tie").unionAll(rest)
+    return both.select(F.col("_per").alias(per), F.col("_tie").alias(tie))
+
+
 R.sql("J1_hash_join", f"SELECT /*+ SHUFFLE_HASH(o) */ o_orderstatus, count(*) AS n, {MONEY.format('l_quantity')} AS q FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey GROUP BY o_orderstatus")
 R.sql("J2_merge_join", f"SELECT /*+ MERGE(o) */ o_orderpriority, count(*) AS n, {MONEY.format('l_tax')} AS q FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
 R.sql("J3_nested_loop", "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey * 5 < n_nationkey")
@@ -96,8 +133,7 @@ def _asof(t):
        FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE r <= 3""",
 )
 def _nearest(t):
-    pairs = t.supplier.join(t.customer, F.col("s_nationkey") == F.col("c_nationkey"))
-    return nearest(pairs, F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 3, ["s_suppkey"], "c_custkey").select("s_suppkey", "c_custkey")
+    return nearest_join(t.supplier, t.customer, ("s_nationkey", "c_nationkey"), ("s_acctbal", "c_acctbal"), 3, "s_suppkey", "c_custkey")
 
 
 @R.frame("J15_join_removal", "SELECT o_orderkey, o_custkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
