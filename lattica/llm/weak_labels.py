@@ -19,7 +19,8 @@ seeded hash of their id); the driver gets the marks mined and the hashed feature
 never texts.  Votes, counts and scores cover all documents.
 
 Texts are taken one by one, so that a worker holds the counts of one of them and
-two bounded memos of words (``MEMO`` words of at most 64 characters each).
+bounded memos (``MEMO`` words of at most 64 characters, and for scores as many
+beginnings and shapes, which thousands of words share).
 
 Defined cases: null and empty texts are scored by their length alone (they are
 of low quality); without labels the other labellers stand alone; repeated rows
@@ -134,12 +135,40 @@ class Scorer:
         #: both tasks' weights in one number, real part and imaginary part; most buckets weigh nothing
         self.both = {int(i): complex(*map(float, weights[:, i])) for i in np.flatnonzero(weights.any(axis=0))}
         self.memo: dict[str, tuple[int, ...]] = {}
+        #: the bucket of a word's beginning or shape, -1 if it weighs nothing
+        self.parts: dict[str, int] = {}
+
+    def _weighs(self, name: str) -> int:
+        at = xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), SEED) & self.mask
+        return at if at in self.both else -1
+
+    def _part(self, name: str) -> int:
+        """The same, remembered: words have few beginnings and shapes."""
+        got = self.parts.get(name)
+        if got is None:
+            if len(self.parts) >= MEMO:
+                self.parts.clear()
+            got = self.parts[name] = self._weighs(name)
+        return got
 
     def word(self, word: str) -> tuple[int, ...]:
         """The buckets of a word that weigh anything."""
-        hashed, mask, known = xxhash.xxh32_intdigest, self.mask, self.both
-        found = (hashed(x.encode("utf-8", "surrogatepass"), SEED) & mask for x in features_of(word))
-        got = tuple(at for at in found if at in known)
+        known, part = self.parts.get, self._part
+        found = []
+        for letters in letters_of(word):
+            found.append(self._weighs("w:" + letters))
+            for n in STARTS:
+                if len(letters) > n:
+                    got = known(name := f"{n}:{letters[:n]}")
+                    found.append(part(name) if got is None else got)
+        # runs of the shape are left in: shapes that differ in them have one bucket
+        got = known(raw := "s:" + word[:64].translate(_SHAPE))
+        if got is None:
+            if len(self.parts) >= MEMO:
+                self.parts.clear()
+            got = self.parts[raw] = self._weighs("s:" + _RUN.sub(r"\1", raw[2:]))
+        found.append(got)
+        got = tuple(at for at in found if at >= 0)
         if len(word) <= 64:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
@@ -238,9 +267,15 @@ class Marks:
 
     def count(self, word: str) -> tuple[int, int] | bool:
         """(mined words, mined beginnings) among a word's letters, False if none."""
-        letters = letters_of(word)
-        got = sum(x in self.words for x in letters), sum(any(y in self.starts for y in starts_of(x)) for x in letters)
-        if not any(got):
+        marked = begun = 0
+        for letters in letters_of(word):
+            marked += letters in self.words
+            for n in STARTS:
+                if len(letters) > n and letters[:n] in self.starts:
+                    begun += 1
+                    break
+        got = marked, begun
+        if not marked and not begun:
             got = False
         if len(word) <= 64:
             if len(self.memo) >= MEMO:

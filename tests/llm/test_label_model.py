@@ -77,3 +77,21 @@ def test_scores_are_sums():
         want = [sum(float(weights[i, b]) for b in at) + (0.1, -0.2)[i] for i in (0, 1)]
         for got, z in zip(scorer.probabilities(text), want):
             assert abs(got - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+
+
+def test_words_that_share_beginnings_and_shapes_are_hashed_once_each(monkeypatch):
+    rng = np.random.default_rng(5)
+    weights = np.zeros((2, 1 << 12), np.float32)
+    weights[:, rng.choice(1 << 12, 900, replace=False)] = rng.normal(size=(2, 900))
+    words = [f"{a}{b}{c}" for a in ("prefix", "Straße", "x9-$", "AB", "") for b in "abcdefgh" for c in ("", "q", "RR,", "long" * 20)]
+    scorer = W.Scorer(weights, np.zeros(2), 12)
+    calls = []
+    own = W.xxhash.xxh32_intdigest
+    monkeypatch.setattr(W.xxhash, "xxh32_intdigest", lambda *x: calls.append(x) or own(*x))
+    got = [scorer.word(w) for w in words]
+    # whole letters each, beginnings and shapes once
+    parts = {x for w in words for x in W.features_of(w) if x[0] != "w"}
+    assert len(calls) <= sum(x[0] == "w" for w in words for x in W.features_of(w)) + 3 * len(parts)
+    monkeypatch.undo()
+    want = [[at for x in W.features_of(w) if (at := W.bucket(x, 12)) in scorer.both] for w in words]
+    assert list(map(sorted, got)) == list(map(sorted, want)) and any(want)
