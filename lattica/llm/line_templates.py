@@ -135,8 +135,9 @@ class Tree:
             need = self.long_docs if len(t.words) >= self.long_words else self.short_docs
             if len(t.docs) >= need:
                 first = min(t.docs, key=_order)
+                words = " ".join(t.words)
                 for line in t.lines:
-                    yield line, first, " ".join(t.words)
+                    yield line, first, words
 
     def push(self, leaf: int, text: str, line: int, docs: list) -> Iterator[tuple]:
         """(line, first document, template) of what is decided by now."""
@@ -239,27 +240,44 @@ def templates(
         tree = Tree(similarity, long_words, long_docs, short_docs, depth)
         ids = None
         before: list | None = None
+        rows: list[tuple] = []
+        size = 0
 
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows)) if rows else [(), (), ()]
+        def made() -> pa.RecordBatch:
+            nonlocal size
+            cols = list(zip(*rows))
+            rows.clear()
+            size = 0
             return pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], ids), pa.array(cols[2], pa.string())], ["line", "first", "template"]
             )
 
+        def bounded(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            """Full batches of what is found: each line brings its template's text."""
+            nonlocal size
+            for row in found:
+                rows.append(row)
+                size += len(row[2])
+                if size >= HELD:
+                    yield made()
+
         for batch in batches:
             ids = batch.schema.field(3).type.value_type
-            rows: list[tuple] = []
             for leaf, words, line, of in zip(*(c.to_pylist() for c in batch.columns)):
                 # equal lines of several map tasks follow each other
                 if before is not None and before[2] == line and before[0] == leaf:
                     before[3] = nsmallest(keep, set(before[3]).union(of), key=_order)
                     continue
                 if before is not None:
-                    rows.extend(tree.push(*before))
+                    yield from bounded(tree.push(*before))
                 before = [leaf, words, line, of]
-            yield made(rows)
+            if rows:
+                yield made()
         if before is not None:
-            yield made([*tree.push(*before), *tree.flush()])
+            yield from bounded(tree.push(*before))
+            yield from bounded(tree.flush())
+            if rows:
+                yield made()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from lattica.llm import line_templates as L
@@ -49,3 +50,19 @@ def test_documents_keep_one_line_of_a_scattered_template(spark):
     given = list(enumerate(same + rest))
     got = {r.doc_id for r in L.dedup_lines(spark.createDataFrame(given, "doc_id long, text string")).collect()}
     assert got == {0, *range(40, 340)}
+
+
+def test_decided_lines_come_in_bounded_batches(spark, monkeypatch):
+    """Each line brings its template's text, which together have no bound."""
+    found = []
+    docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
+    own = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: found.append(f) or own(self, f, schema))
+    L.templates(docs)
+    monkeypatch.setattr(L, "HELD", 4096)
+    words = [" ".join(["same"] * 60 + [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}"]) for i in range(300)]
+    columns = [pa.array([7] * 300), pa.array(words), pa.array(range(300)), pa.array([[i] for i in range(300)], pa.list_(pa.int64()))]
+    got = list(found[-1](iter([pa.RecordBatch.from_arrays(columns, ["leaf", "words", "line", "docs"])])))
+    assert sum(([*b.column(0).to_pylist()] for b in got), []) == list(range(300))
+    assert {x for b in got for x in b.column(1).to_pylist()} == {0}
+    assert max(sum(map(len, b.column(2).to_pylist())) for b in got) <= 4096 + 400
