@@ -18,9 +18,10 @@ and training read bounded samples (``sample`` rows, those with the smallest
 seeded hash of their id); the driver gets the marks mined and the hashed features,
 never texts.  Votes, counts and scores cover all documents.
 
-Texts are taken one by one, so that a worker holds the counts of one of them and
-bounded memos (``MEMO`` words of at most 64 characters, and for scores as many
-beginnings and shapes, which thousands of words share).
+Votes take texts one by one; scores take them in groups of bounded size (``GROUP``),
+so that words new to a group are hashed side by side.  A worker holds the words of one
+text or group and bounded memos (``MEMO`` words of at most 64 characters, and for scores
+as many beginnings, and as many shapes, which thousands of words share).
 
 Defined cases: null and empty texts are scored by their length alone (they are
 of low quality); without labels the other labellers stand alone; repeated rows
@@ -35,7 +36,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,8 @@ THRESHOLD = 0.55
 #: Quality shows in common signs, toxicity in rare words.
 TRAINING = {"low_quality": (1 / 150, 1.0), "toxic": (0, 0.5)}
 MEMO = 1 << 16
+#: Texts, and their characters, that are scored together (a longer text is by itself), and words that are hashed at a time.
+GROUP, GROUP_CHARS, HASHED = 64, 1 << 18, 1 << 13
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that serve as features.
 STARTS = (4, 6)
@@ -127,6 +131,31 @@ def bucket(name: str, bits: int) -> int:
     return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), SEED) & ((1 << bits) - 1)
 
 
+class Parts(dict):
+    """The buckets of beginnings or shapes, -1 where they weigh nothing; remembered, as words have few of them."""
+
+    def __init__(self, weighs: Callable[[str], int], name: Callable[[str], str]) -> None:
+        self.weighs, self.name = weighs, name
+
+    def __missing__(self, part: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        got = self[part] = self.weighs(self.name(part)) if part else -1
+        return got
+
+
+#: the kinds of characters below 128
+_KINDS = np.array([ord(chr(c).translate(_SHAPE)) for c in range(128)], np.uint32)
+
+
+def shapes_of(words: list[str]) -> list[str]:
+    """The shapes of words (none of which holds a line break), as in ``features_of``."""
+    codes = np.frombuffer("\n".join([w[:64] for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = np.where(codes < 128, _KINDS[np.minimum(codes, 127)], codes)
+    first = np.append(True, kinds[1:] != kinds[:-1])
+    return kinds[first].tobytes().decode("utf-32-le", "surrogatepass").split("\n")
+
+
 class Scorer:
     """Hashed linear scorer: sums the weights of a text's distinct buckets for both tasks."""
 
@@ -134,60 +163,83 @@ class Scorer:
         self.weights, self.bias, self.bits, self.mask = weights, bias, bits, (1 << bits) - 1
         #: both tasks' weights in one number, real part and imaginary part; most buckets weigh nothing
         self.both = {int(i): complex(*map(float, weights[:, i])) for i in np.flatnonzero(weights.any(axis=0))}
+        self.heavy = weights.any(axis=0)
         self.memo: dict[str, tuple[int, ...]] = {}
-        #: the bucket of a word's beginning or shape, -1 if it weighs nothing
-        self.parts: dict[str, int] = {}
+        #: beginnings of different lengths never meet
+        self.starts = Parts(self._weighs, lambda x: f"{len(x)}:{x}")
+        self.shapes = Parts(self._weighs, lambda x: "s:" + x)
 
     def _weighs(self, name: str) -> int:
-        at = xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"), SEED) & self.mask
-        return at if at in self.both else -1
-
-    def _part(self, name: str) -> int:
-        """The same, remembered: words have few beginnings and shapes."""
-        got = self.parts.get(name)
-        if got is None:
-            if len(self.parts) >= MEMO:
-                self.parts.clear()
-            got = self.parts[name] = self._weighs(name)
-        return got
+        at = bucket(name, self.bits)
+        return at if self.heavy[at] else -1
+
+    def buckets(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Of each word the buckets that weigh anything; the words are hashed side by side."""
+        if not words:
+            return []
+        low = list(map(str.lower, words))
+        word, whole = np.arange(len(words)), np.fromiter(map(str.isalpha, low), bool, len(low))
+        # the runs of letters and whose they are, words of letters alone first
+        each = list(map(_LETTERS.findall, compress(low, ~whole)))
+        letters = [*compress(low, whole), *chain.from_iterable(each)]
+        owner = np.concatenate([word[whole], np.repeat(word[~whole], np.fromiter(map(len, each), np.int64, len(each)))])
+        names = [b"w:" + x.encode() for x in letters]
+        at = np.fromiter(map(xxhash.xxh32_intdigest, names, repeat(SEED)), np.int64, len(names)) & self.mask
+        found, of = [np.where(self.heavy[at], at, -1)], [owner]
+        for n in STARTS:
+            starts = [x[:n] if len(x) > n else "" for x in letters]
+            found.append(np.fromiter(map(self.starts.__getitem__, starts), np.int64, len(starts)))
+            of.append(owner)
+        found.append(np.fromiter(map(self.shapes.__getitem__, shapes_of(words)), np.int64, len(words)))
+        of.append(word)
+        at, owner = np.concatenate(found), np.concatenate(of)
+        at, owner = at[at >= 0], owner[at >= 0]
+        at = at[np.argsort(owner, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(owner, minlength=len(words))).tolist()
+        return [tuple(at[a:b]) for a, b in zip([0, *ends], ends)]
 
     def word(self, word: str) -> tuple[int, ...]:
         """The buckets of a word that weigh anything."""
-        known, part = self.parts.get, self._part
-        found = []
-        for letters in letters_of(word):
-            found.append(self._weighs("w:" + letters))
-            for n in STARTS:
-                if len(letters) > n:
-                    got = known(name := f"{n}:{letters[:n]}")
-                    found.append(part(name) if got is None else got)
-        # runs of the shape are left in: shapes that differ in them have one bucket
-        got = known(raw := "s:" + word[:64].translate(_SHAPE))
-        if got is None:
-            if len(self.parts) >= MEMO:
-                self.parts.clear()
-            got = self.parts[raw] = self._weighs("s:" + _RUN.sub(r"\1", raw[2:]))
-        found.append(got)
-        got = tuple(at for at in found if at >= 0)
-        if len(word) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = got
-        return got
+        return self.buckets([word])[0]
 
     def probabilities(self, text: str | None) -> tuple[float, float]:
         """(of low quality, toxic)"""
-        m = Measures(text or "")
-        at = {i for x in m.features() if (i := bucket(x, self.bits)) in self.both}
-        known = self.memo.get
-        for word in m.distinct:
-            got = known(word)
-            if got is None:
-                got = self.word(word)
-            if got:
-                at.update(got)
-        score = sum(map(self.both.__getitem__, at), complex(*map(float, self.bias)))
-        return tuple(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in (score.real, score.imag))
+        return next(self.probabilities_of([text]))
+
+    def probabilities_of(self, texts: Iterable[str | None]) -> Iterator[tuple[float, float]]:
+        """The same of each text."""
+        group, size = [], 0
+        for text in texts:
+            text = text or ""
+            if group and (len(group) == GROUP or size + len(text) > GROUP_CHARS):
+                yield from self._scored(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        yield from self._scored(group)
+
+    def _scored(self, texts: list[str]) -> Iterator[tuple[float, float]]:
+        measures = [Measures(t) for t in texts]
+        words = set().union(*(m.distinct for m in measures))
+        fresh = words.difference(self.memo)
+        if len(self.memo) + len(fresh) > MEMO:
+            self.memo.clear()
+            fresh = words
+        fresh = list(fresh)
+        for i in range(0, len(fresh), HASHED):
+            part = fresh[i : i + HASHED]
+            self.memo.update(zip(part, self.buckets(part)))
+        own, bias = self.memo.__getitem__, complex(*map(float, self.bias))
+        for m in measures:
+            at = set(chain.from_iterable(map(own, m.distinct)))
+            at.update(i for x in m.features() if (i := bucket(x, self.bits)) in self.both)
+            score = sum(map(self.both.__getitem__, at), bias)
+            yield tuple(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in (score.real, score.imag))
+        for w in fresh:
+            if len(w) > 64:
+                del self.memo[w]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
 
 
 def buckets_of(text: str, bits: int) -> list[int]:
@@ -259,42 +311,49 @@ def marks_of(counts: dict[str, tuple[int, int]], n_bad: int, n_good: int, least:
 
 
 class Marks:
-    """Looks for mined words and beginnings; remembers words that it has seen."""
+    """Looks for mined words and beginnings; remembers words that hold none."""
 
     def __init__(self, words: set[str], starts: set[str]) -> None:
         self.words, self.starts = words, starts
-        self.memo: dict[str, tuple[int, int] | bool] = {}
+        self.either = words | starts
+        self.clean: set[str] = set()
 
-    def count(self, word: str) -> tuple[int, int] | bool:
-        """(mined words, mined beginnings) among a word's letters, False if none."""
+    def count(self, word: str) -> tuple[int, int]:
+        """(mined words, mined beginnings) among a word's letters."""
         marked = begun = 0
         for letters in letters_of(word):
             marked += letters in self.words
-            for n in STARTS:
-                if len(letters) > n and letters[:n] in self.starts:
-                    begun += 1
-                    break
-        got = marked, begun
-        if not marked and not begun:
-            got = False
-        if len(word) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = got
-        return got
+            begun += any(x in self.starts for x in starts_of(letters))
+        return marked, begun
+
+    def count_all(self, words: set[str]) -> tuple[int, int]:
+        """The same over distinct words; all but a few are ruled out at sight."""
+        short, long = STARTS
+        either, runs = self.either, _LETTERS.findall
+        fresh, held = words.difference(self.clean), []
+        for word in fresh:
+            low = word.lower()
+            if low.isalpha():
+                if low in either or low[:short] in either or low[:long] in either:
+                    held.append(word)
+            else:
+                for x in runs(low):
+                    if x in either or x[:short] in either or x[:long] in either:
+                        held.append(word)
+                        break
+        if len(self.clean) + len(fresh) > MEMO:
+            self.clean.clear()
+        fresh.difference_update(held)
+        if len(fresh) <= MEMO:
+            self.clean.update([w for w in fresh if len(w) <= 64])
+        got = [self.count(w) for w in held]
+        return sum(x for x, _ in got), sum(x for _, x in got)
 
 
 def toxic_votes(m: Measures, marks: Marks) -> list[int]:
     if not marks.words and not marks.starts:
         return [-1, -1, -1]
-    marked = begun = 0
-    known = marks.memo.get
-    for word in m.distinct:
-        got = known(word)
-        if got is None:
-            got = marks.count(word)
-        if got:
-            marked, begun = marked + got[0], begun + got[1]
+    marked, begun = marks.count_all(m.distinct)
     share = (marked + begun) / max(1, len(m.distinct))
     return [1 if marked >= 2 else 0 if not marked else -1, 1 if begun >= 2 else 0 if not begun else -1, 1 if share >= 0.02 else 0 if share < 0.002 else -1]
 
@@ -477,7 +536,7 @@ def score(docs: DataFrame, classifier: Classifier, text: str = "text", threshold
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Scorer(*held.value, bits)
         for batch in batches:
-            got = [mine.probabilities(t.as_py()) for t in batch.column(at)]
+            got = list(mine.probabilities_of(t.as_py() for t in batch.column(at)))
             bad = [max(x) >= threshold for x in got]
             arrays = [*batch.columns, pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64()), pa.array(bad, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *own])

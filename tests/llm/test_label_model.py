@@ -95,3 +95,44 @@ def test_words_that_share_beginnings_and_shapes_are_hashed_once_each(monkeypatch
     monkeypatch.undo()
     want = [[at for x in W.features_of(w) if (at := W.bucket(x, 12)) in scorer.both] for w in words]
     assert list(map(sorted, got)) == list(map(sorted, want)) and any(want)
+
+
+def test_words_of_a_group_are_hashed_side_by_side(monkeypatch):
+    draw, rng = random.Random(7), np.random.default_rng(7)
+    words = ["Straße", "İx-Y", "x9-$", "ABab", "a-a", "²x", "日本", "--", "\ud800z", "e\u0301", "q" * 70, "Zz1" * 30, *(f"w{i}" for i in range(50))]
+    texts = [None, "", *(" ".join(draw.choice(words) for _ in range(draw.randrange(40))) for _ in range(300))]
+    weights = np.where(rng.random((2, 1 << 10)) < 0.5, rng.normal(size=(2, 1 << 10)), 0).astype(np.float32)
+    plain = []
+    for text in texts:
+        m = W.Measures(text or "")
+        at = {W.bucket(x, 10) for x in m.features() + [x for w in m.distinct for x in W.features_of(w)]}
+        plain.append([1 / (1 + np.exp(-sum(float(weights[i, b]) for b in at))) for i in (0, 1)])
+    for memo, group, chars in ((1 << 16, 64, 1 << 18), (40, 64, 1 << 18), (5, 7, 300), (1, 1, 1)):
+        for name, value in (("MEMO", memo), ("GROUP", group), ("GROUP_CHARS", chars), ("HASHED", max(2, memo // 3))):
+            monkeypatch.setattr(W, name, value)
+        scorer, calls = W.Scorer(weights, np.zeros(2), 10), []
+        own = scorer.buckets
+        monkeypatch.setattr(scorer, "buckets", lambda words: calls.append(len(words)) or own(words))
+        assert np.allclose(list(scorer.probabilities_of(iter(texts))), plain, atol=1e-9)
+        assert len(scorer.memo) <= memo and max(map(len, scorer.memo), default=0) <= 64
+        # new words go in groups, not text by text
+        assert memo < 1000 or len(calls) <= len(texts) // group + 1
+
+
+def test_words_without_marks_are_ruled_out_at_sight(monkeypatch):
+    draw = random.Random(8)
+    letters = ["scum", "Scums", "scummy", "stup", "stupid", "stupidly", "fool-scum", "x1stupor", "İscum", "kind", "k" * 70, *(f"w{i}x" for i in range(60))]
+    for memo in (1 << 16, 5):
+        monkeypatch.setattr(W, "MEMO", memo)
+        marks, counted = W.Marks({"scum", "fool", "w"}, {"stup", "stupid"}), []
+        own = marks.count
+        monkeypatch.setattr(marks, "count", lambda w: counted.append(w) or own(w))
+        for _ in range(200):
+            words = {draw.choice(letters) for _ in range(draw.randrange(30))}
+            want = [0, 0]
+            for x in (x for w in words for x in W.letters_of(w)):
+                want[0] += x in marks.words
+                want[1] += any(s in marks.starts for s in W.starts_of(x))
+            assert marks.count_all(words) == tuple(want)
+            assert len(marks.clean) <= memo
+        assert not {"kind", "k" * 70} & set(counted)
