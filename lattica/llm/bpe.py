@@ -4,7 +4,8 @@ Encoding follows the tokenizer file's own steps: special tokens are cut out,
 white space and case are normalised, words are split off, and each word's bytes
 are merged by rank.  A text is read in pieces (``PIECE`` bytes of its buffer), and
 every word goes through the transducer, which holds the symbols whose tokens may
-still change.
+still change.  The transducers of a group of texts run side by side: their words that are
+not remembered are merged together, one merge of each word at a time (``Merger``).
 
 ``sufficient_lookahead`` computes from the merge list how far to the right of a
 place the decision to merge across it can depend on the text.  A merge (u, v)
@@ -15,7 +16,7 @@ end of a token that lies so many symbols before the end of what has been read
 is an end of a token in any continuation; and as merges on both sides of such an
 end are independent, the tokens before it are emitted and their symbols
 forgotten.  A word's end makes all its tokens stable.  Memory depends on the
-merge list (and on a bounded memo of words that went through), not on the text;
+merge list (and on a bounded memo of words that went through, and a group's pieces), not on the text;
 only a run of combining marks without any base character is held whole.
 
 Decoding is the reverse machine: ids become bytes, one table entry each, and an
@@ -40,7 +41,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ MODEL = "word_bpe_49k.json"
 PIECE = 1 << 16
 #: Words remembered, and their greatest length; characters of one word that are held before it is streamed.
 MEMO, MEMO_CHARS, LONG = 1 << 17, 48, 1 << 12
+#: Texts that are encoded side by side; words that are merged at a time, and their greatest length in symbols.
+GROUP, MERGED, SIDE = 64, 1 << 13, 64
 #: Unicode's white space.
 _SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -132,6 +135,7 @@ class WordBPE:
         self.symbols = byte_symbols()
         self.id_texts = [str(i) for i in range(max(self.surface) + 1)]
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.merger = Merger(self)
 
     def normalise(self, text: str) -> str:
         """Composed and in lower case; runs of white space stay, as no word holds any."""
@@ -188,6 +192,42 @@ class WordBPE:
                 heapq.heappush(heap, (r, h, part[h], part[i]))
         return [p for p in part if p is not None]
 
+    def learn(self, words: list[str]) -> None:
+        """Put the tokens of words that went through the transducer into the memo."""
+        short = []
+        for w in words:
+            if len(w) <= SIDE and len(w.encode()) <= SIDE:
+                short.append(w)
+            else:
+                self.memo[w] = Encoder(self).word(w)
+        for i in range(0, len(short), MERGED):
+            part = short[i : i + MERGED]
+            self.memo.update(zip(part, self.merger.merge(part)))
+
+    def ids(self, texts: list[list[int | list[str]]]) -> list[list[int]]:
+        """The ids of what encoders gave (ids, and lists of words), text by text."""
+        words = set().union(*(x for parts in texts for x in parts if type(x) is list))
+        fresh = words.difference(self.memo)
+        if len(self.memo) + len(fresh) > MEMO:
+            self.memo.clear()
+            fresh = words
+        self.learn(list(fresh))
+        own, found = self.memo.__getitem__, []
+        for parts in texts:
+            out: list[int] = []
+            for x in parts:
+                if type(x) is list:
+                    out.extend(chain.from_iterable(map(own, x)))
+                else:
+                    out.append(x)
+            found.append(out)
+        for w in fresh:
+            if len(w) > MEMO_CHARS:
+                del self.memo[w]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        return found
+
     def encode(self, text: str | None) -> list[int]:
         return Encoder(self).feed(text or "", True)
 
@@ -202,6 +242,104 @@ class WordBPE:
         yield machine.close()
 
 
+class Merger:
+    """Merges many words side by side: in each round every word's pair of least rank, its leftmost, until no word has any."""
+
+    def __init__(self, bpe: WordBPE) -> None:
+        number: dict[str, int] = {}
+        of = lambda t: number.setdefault(t, len(number))
+        #: the numbers of a byte's symbol, and of the same at the end of a word
+        self.symbol = np.array([of(x) for x in bpe.symbols])
+        self.final = np.array([of(x + bpe.suffix) for x in bpe.symbols])
+        pairs = [(of(a), of(b), of(a + b)) for a, b in bpe.rank]
+        left, right, made = np.array(pairs, np.int64).reshape(-1, 3).T
+        rank = np.fromiter(bpe.rank.values(), np.int64, len(pairs))
+        #: the number of what a merge makes, by rank
+        self.made = np.zeros(max(rank, default=0) + 1, np.int64)
+        self.made[rank] = made
+        #: the rank of no merge
+        self.none = len(self.made)
+        self.token = {i: bpe.vocab[t] for t, i in number.items() if t in bpe.vocab}
+        #: pairs in a table with open addresses, at most a quarter full
+        self.width = len(number)
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.none, np.int64)
+        key = left * self.width + right
+        at = self._place(key)
+        while len(key):
+            # the first comer takes a free place, the others move on
+            _, first = np.unique(at, return_index=True)
+            first = first[self.keys[at[first]] == -1]
+            self.keys[at[first]], self.ranks[at[first]] = key[first], rank[first]
+            rest = np.ones(len(key), bool)
+            rest[first] = False
+            key, rank, at = key[rest], rank[rest], at[rest] + 1 & (1 << self.bits) - 1
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs, ``none`` for such as do not merge."""
+        key = left * self.width + right
+        at = self._place(key)
+        there = self.keys[at]
+        found = np.where(there == key, self.ranks[at], self.none)
+        more = np.flatnonzero((there != key) & (there != -1))
+        while len(more):
+            at[more] = at[more] + 1 & (1 << self.bits) - 1
+            there = self.keys[at[more]]
+            same = there == key[more]
+            found[more[same]] = self.ranks[at[more[same]]]
+            more = more[~same & (there != -1)]
+        return found
+
+    def merge(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each word; none is empty."""
+        data = [w.encode() for w in words]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        last = np.cumsum(size) - 1
+        part = self.symbol[flat]
+        part[last] = self.final[flat[last]]
+        #: of each symbol the rank of it and the next one
+        rank = np.append(self.rank(part[:-1], part[1:]), self.none)
+        rank[last] = self.none
+        word, done = np.arange(len(words)), []
+        while len(word):
+            begin = np.cumsum(size) - size
+            least = np.minimum.reduceat(rank, begin)
+            live = least < self.none
+            if not live.all():
+                on = np.repeat(live, size)
+                done.append((word[~live], size[~live], part[~on]))
+                word, size, least, part, rank = word[live], size[live], least[live], part[on], rank[on]
+                if not len(word):
+                    break
+                begin = np.cumsum(size) - size
+            owner = np.repeat(np.arange(len(word)), size)
+            at = np.flatnonzero(rank == least[owner])
+            at = at[np.append(True, owner[at[1:]] != owner[at[:-1]])]
+            part[at] = self.made[least]
+            keep = np.ones(len(part), bool)
+            keep[at + 1] = False
+            end = at + 2 == begin + size
+            rank[at] = self.none
+            inner = at[~end]
+            before = at[at > begin]
+            both = self.rank(np.concatenate([part[inner], part[before - 1]]), np.concatenate([part[inner + 2], part[before]]))
+            rank[inner], rank[before - 1] = both[: len(inner)], both[len(inner) :]
+            part, rank, size = part[keep], rank[keep], size - 1
+        if not done:
+            return []
+        word, size, part = map(np.concatenate, zip(*done))
+        ids = list(map(self.token.__getitem__, part.tolist()))
+        ends = np.cumsum(size).tolist()
+        found: list[tuple[int, ...]] = [()] * len(words)
+        for i, a, b in zip(word.tolist(), [0, *ends], ends):
+            found[i] = tuple(ids[a:b])
+        return found
+
+
 class Encoder:
     """The transducer of one text: pieces of it go in, ids come out as soon as they are stable."""
 
@@ -214,6 +352,10 @@ class Encoder:
 
     def feed(self, text: str, last: bool = False) -> list[int]:
         """The ids that have become stable; all that are left if this piece is the last."""
+        return self.bpe.ids([self.parts(text, last)])[0]
+
+    def parts(self, text: str, last: bool = False) -> list[int | list[str]]:
+        """The same as ids, and lists of whole words whose ids ``WordBPE.ids`` gives."""
         bpe, out = self.bpe, []
         raw = self.raw + text
         parts = bpe.cut.split(raw) if bpe.cut else [raw]
@@ -246,7 +388,7 @@ class Encoder:
             upto -= 1
         return upto
 
-    def _words(self, text: str, end: bool, out: list[int]) -> None:
+    def _words(self, text: str, end: bool, out: list[int | list[str]]) -> None:
         """Ids of the words of normalised pieces; ``end``: no word goes on after them."""
         bpe = self.bpe
         text = self.tail + bpe.normalise(text)
@@ -264,11 +406,12 @@ class Encoder:
             while cut and text[cut - 1] not in _SPACES:
                 cut -= 1
             self.tail, text = text[cut:], text[:cut]
-        self._known(bpe.split(text), out)
+        if words := bpe.split(text):
+            out.append(words)
         if len(self.tail) > LONG:
             self._long(out)
 
-    def _long(self, out: list[int]) -> None:
+    def _long(self, out: list[int | list[str]]) -> None:
         """A tail without a space: its complete words, and the beginning of one that goes on."""
         text, done, whole = self.tail, 0, []
         for m in self.bpe.words.finditer(text):
@@ -277,27 +420,15 @@ class Encoder:
                 break
             whole.append(m[0])
             done = m.end()
-        self._known(whole, out)
+        out.append(whole)
         self.tail = text = text[done:]
         if len(text) > LONG:
             self.run = next(r for r in self.bpe.runs if r.match(text))
             self.tail = ""
             self._push(text, out)
 
-    def _known(self, words: list[str], out: list[int]) -> None:
-        memo = self.bpe.memo
-        found = list(map(memo.get, words))
-        if None in found:
-            for i, w in enumerate(words):
-                if found[i] is None:
-                    found[i] = got = memo.get(w) or self._word(w)
-                    if len(w) <= MEMO_CHARS:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        memo[w] = got
-        out.extend(chain.from_iterable(found))
-
-    def _word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> tuple[int, ...]:
+        """The ids of one whole word."""
         out: list[int] = []
         self._push(word, out)
         self._finish(out)
@@ -393,52 +524,61 @@ def pieces(texts: pa.Array, size: int = PIECE) -> Iterator[Iterator[str]]:
 
 def coded(bpe: WordBPE, text: Iterable[str], on_ids: Callable[[str], object], on_text: Callable[[str], object]) -> int:
     """Run both machines over one text; gives each piece of the ids (joined by spaces) and of the decoded text away, returns the number of tokens."""
-    encoder, decoder, n = Encoder(bpe), Decoder(bpe), 0
-    held = iter(text)
-    piece = next(held, "")
-    while True:
-        following = next(held, None)
-        ids = encoder.feed(piece, following is None)
-        if ids:
-            on_ids((" " if n else "") + " ".join(map(bpe.id_texts.__getitem__, ids)))
-            on_text(decoder.feed(ids))
-            n += len(ids)
-        if following is None:
-            on_text(decoder.close())
-            return n
-        piece = following
+    return coded_together(bpe, [text], [(on_ids, on_text)])[0]
+
+
+def coded_together(bpe: WordBPE, texts: list[Iterable[str]], sinks: list[tuple[Callable[[str], object], Callable[[str], object]]]) -> list[int]:
+    """The same over several texts side by side, a piece of each at a time."""
+    machines = [(Encoder(bpe), Decoder(bpe)) for _ in texts]
+    held, n = [iter(t) for t in texts], [0] * len(texts)
+    piece = {i: next(h, "") for i, h in enumerate(held)}
+    while piece:
+        following = {i: next(held[i], None) for i in piece}
+        parts = [machines[i][0].parts(p, following[i] is None) for i, p in piece.items()]
+        for i, ids in zip(piece, bpe.ids(parts)):
+            decoder, (on_ids, on_text) = machines[i][1], sinks[i]
+            if ids:
+                on_ids((" " if n[i] else "") + " ".join(map(bpe.id_texts.__getitem__, ids)))
+                on_text(decoder.feed(ids))
+                n[i] += len(ids)
+            if following[i] is None:
+                on_text(decoder.close())
+        piece = {i: p for i, p in following.items() if p is not None}
+    return n
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by spaces), decoded (as the library decodes these)."""
 
-    def one(bpe: WordBPE, text: Iterable[str]) -> tuple[int, str, str]:
+    def sink() -> tuple:
         ids: list[str] = []
         decoded: list[str] = []
-        n = coded(bpe, text, ids.append, decoded.append)
-        return n, "".join(ids), "".join(decoded)
+        return ids.append, decoded.append, lambda: ("".join(ids), "".join(decoded))
 
-    return _mapped(docs, doc_id, text, model, one, "ids string, decoded string")
+    return _mapped(docs, doc_id, text, model, sink, "ids string, decoded string")
 
 
 def encode_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of ``ids`` and ``decoded`` of :func:`encode`, taken piece by piece."""
 
-    def one(bpe: WordBPE, text: Iterable[str]) -> tuple[int, str, str]:
+    def sink() -> tuple:
         ids, decoded = hashlib.sha256(), hashlib.sha256()
-        n = coded(bpe, text, lambda s: ids.update(s.encode()), lambda s: decoded.update(s.encode()))
-        return n, ids.hexdigest(), decoded.hexdigest()
+        return lambda s: ids.update(s.encode()), lambda s: decoded.update(s.encode()), lambda: (ids.hexdigest(), decoded.hexdigest())
 
-    return _mapped(docs, doc_id, text, model, one, "ids_sha256 string, decoded_sha256 string")
+    return _mapped(docs, doc_id, text, model, sink, "ids_sha256 string, decoded_sha256 string")
 
 
-def _mapped(docs, doc_id, text, model, one, columns) -> DataFrame:
+def _mapped(docs, doc_id, text, model, sink, columns) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .token_counts import model_path
 
         bpe = tokenizer(model_path(model))
         for batch in batches:
-            got = [one(bpe, t) for t in pieces(batch.column(1))]
+            got, texts = [], pieces(batch.column(1))
+            while group := list(islice(texts, GROUP)):
+                sinks = [sink() for _ in group]
+                counts = coded_together(bpe, group, [s[:2] for s in sinks])
+                got += [(n, *s[2]()) for n, s in zip(counts, sinks)]
             made = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names)
         bpe.memo.clear()

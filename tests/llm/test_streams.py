@@ -84,6 +84,52 @@ def test_memory_does_not_grow_with_the_text(own):
     assert peak(300) < 1.5 * peak(60) < 40 << 20
 
 
+def test_words_merged_side_by_side(own):
+    """As one by one: real words, and small merge lists full of ties."""
+    draw = random.Random(11)
+    words = ["".join(draw.choice(["a", "th", "ing", "É", "e\u0301", "日本", "1", "!!", "\x00", "x", "er", "on"]) for _ in range(draw.randrange(1, 12))) for _ in range(500)]
+    words += ["a", "aa" * 20, "日" * 21]
+
+    def one(machine, word):
+        spelt = [machine.symbols[b] for b in word.encode()]
+        spelt[-1] += machine.suffix
+        return tuple(machine.vocab[t] for t in machine.merge(spelt))
+
+    assert own.merger.merge(words) == [one(own, w) for w in words]
+    assert own.merger.merge([]) == []
+    lists = [[("a", "b"), ("b", "a"), ("ab", "a"), ("a", "a"), ("ba", "b"), ("aba", "ab"), ("b", "b"), ("b", "a</w>")], [("a", "a"), ("aa", "aa"), ("a", "aa")], [("b", "a"), ("aba", "b"), ("a", "ba"), ("a", "b")], []]
+
+    class Small:
+        symbols, suffix, merge = own.symbols, "</w>", bpe.WordBPE.merge
+
+    for merges in lists:
+        small = Small()
+        small.rank = {m: i for i, m in enumerate(merges)}
+        names = [*own.symbols, *(x + "</w>" for x in own.symbols), *(a + b for a, b in merges)]
+        small.vocab = {t: i for i, t in enumerate(dict.fromkeys(names))}
+        words = ["".join(draw.choice("ab") for _ in range(draw.randrange(1, 30))) for _ in range(300)]
+        assert bpe.Merger(small).merge(words) == [one(small, w) for w in words]
+
+
+@pytest.mark.parametrize("memo,size", [(1 << 17, 100), (1 << 17, 3), (7, 40)])
+def test_texts_coded_together(own, library, monkeypatch, memo, size):
+    draw = random.Random(memo + size)
+    texts = ["".join(draw.choice([*PARTS, "x" * 70, "日" * 30]) for _ in range(draw.randrange(60))) for _ in range(150)] + ["", "!?" * 4000, "a" * 9000 + "'ll", "a b " * 3000]
+    monkeypatch.setattr(bpe, "MEMO", memo)
+    own.memo.clear()
+    merged, merge = [], own.merge
+    monkeypatch.setattr(own, "merge", lambda symbols: merged.append(len(symbols)) or merge(symbols))
+    ids, decoded = [[] for _ in texts], [[] for _ in texts]
+    cut = [[t[i : i + size] for i in range(0, len(t), size)] for t in texts]
+    counts = bpe.coded_together(own, cut, [(i.append, d.append) for i, d in zip(ids, decoded)])
+    for t, n, i, d in zip(texts, counts, ids, decoded):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert n == len(want) and "".join(i) == " ".join(map(str, want)) and "".join(d) == library.decode(want, skip_special_tokens=False)
+    # short words are not merged one by one
+    assert min(merged, default=bpe.SIDE + 1) > bpe.SIDE
+    assert len(own.memo) <= memo and max(map(len, own.memo), default=0) <= bpe.MEMO_CHARS
+
+
 class SpacedModel:
     """A model whose pieces cross spaces: the longest piece first, from the left of each run that no piece crosses."""
 
